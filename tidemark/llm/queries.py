@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.tokens import encode_texts
+from tidemark.llm.vectors import similar_vectors
 from tidemark.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five events with the most similar embedding of every usable event."""
+    return similar_vectors(table(spark, sf_dir, "visual_events"), "event_id", "embedding").select("event_id", F.col("neighbor").alias("neighbor_id"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims linked by SUPPORTS or CONTRADICTS pairs (apart from case and outer blanks), with their group's smallest claim."""
     holds = F.upper(F.trim("relation")).isin("SUPPORTS", "CONTRADICTS")
@@ -24,7 +30,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p8_ids": p8_ids}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p8_ids": p8_ids}
 
 
 def oracle_sql() -> dict:
