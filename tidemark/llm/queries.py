@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
+from tidemark.llm.neardup import expand_links, near_duplicates
 from tidemark.llm.tokens import encode_texts
 from tidemark.llm.vectors import similar_vectors
 from tidemark.session import table
@@ -24,13 +25,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("node").alias("claim_id"), F.col("group").alias("group_id"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of claims and pairs of moments whose sets of adjacent word pairs have at least half of their union in common."""
+    out = []
+    for kind, name, key, text in (("claim", "claims", "claim_id", "text"), ("moment", "moments", "moment_id", "transcript")):
+        pairs = expand_links(*near_duplicates(table(spark, sf_dir, name), key, text))
+        out.append(pairs.select(F.lit(kind).alias("record_type"), "record_a", "record_b"))
+    return out[0].unionByName(out[1])
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document by byte_bpe_50k; null and empty texts give an empty list."""
     return encode_texts(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text")).withColumnRenamed("key", "doc_id")
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p8_ids": p8_ids}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p7_found": p7_found, "p8_ids": p8_ids}
 
 
 def oracle_sql() -> dict:
