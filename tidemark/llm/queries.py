@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.neardup import expand_links, near_duplicates
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.splitting import split_oversized
 from tidemark.llm.tokens import encode_texts
 from tidemark.llm.vectors import similar_vectors
 from tidemark.session import table
@@ -25,6 +27,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("node").alias("claim_id"), F.col("group").alias("group_id"))
 
 
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every transcript of more than 1,000 characters, with their shares of the moment's span."""
+    return split_oversized(table(spark, sf_dir, "moments"), "moment_id", "transcript", "t_start_s", "t_end_s")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every split moment, and whether its cuts are all at sentences' ends."""
+    return p5_pieces(spark, sf_dir).where("piece = 0").select("moment_id", "cut")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of claims and pairs of moments whose sets of adjacent word pairs have at least half of their union in common."""
     out = []
@@ -39,8 +51,13 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text")).withColumnRenamed("key", "doc_id")
 
 
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, or piece of a longer one, with its container of 2,048 tokens by byte_bpe_50k."""
+    return pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p7_found": p7_found, "p8_ids": p8_ids}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_pieces": p5_pieces, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 
 def oracle_sql() -> dict:
@@ -55,5 +72,10 @@ with recursive l as (
 e as (select a, b from l union select b, a from l),
 reach as (select a n, a m from e union select r.n, e.b from reach r join e on r.m = e.a)
 select n as claim_id, min(m) as group_id from reach group by n
+""",
+    "p5_found": """
+with m as (select moment_id, any_value(transcript) t from moments where length(transcript) > 1000 group by moment_id),
+c as (select moment_id, replace(regexp_replace(t, '([.!?…]+)([\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\pZ])', '\\1' || chr(1) || '\\2', 'g'), chr(10), chr(10) || chr(1)) t from m)
+select moment_id, case when list_max(list_transform(string_split(t, chr(1)), lambda x: length(x))) > 1000 then 'forced' else 'natural' end as cut from c
 """,
 }
