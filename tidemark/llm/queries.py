@@ -10,6 +10,7 @@ from tidemark.llm.neardup import expand_links, near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.splitting import split_oversized
 from tidemark.llm.tokens import encode_texts
+from tidemark.llm.turns import speaker_turns, turn_cases
 from tidemark.llm.vectors import similar_vectors
 from tidemark.session import table
 
@@ -37,6 +38,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).where("piece = 0").select("moment_id", "cut")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cue with spoken words, the first cue of its turn and its speaker."""
+    cases = turn_cases(table(spark, sf_dir, "segments"), table(spark, sf_dir, "speakers"))
+    return cases.select("seg_id", "turn_seg_id", "speaker_id")
+
+
+def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean turns of every video, with their text."""
+    return speaker_turns(table(spark, sf_dir, "segments"), table(spark, sf_dir, "speakers"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of claims and pairs of moments whose sets of adjacent word pairs have at least half of their union in common."""
     out = []
@@ -57,7 +69,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_pieces": p5_pieces, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_pieces": p5_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_turns": p6_turns, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 
 def oracle_sql() -> dict:
