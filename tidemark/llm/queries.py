@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.components import connected_components
 from tidemark.llm.neardup import expand_links, near_duplicates
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.quality import classify_documents, document_statistics
 from tidemark.llm.splitting import split_oversized
 from tidemark.llm.tokens import encode_texts
 from tidemark.llm.turns import speaker_turns, turn_cases
@@ -68,8 +69,19 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are lists, tables or junk."""
+    out = classify_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+    return out.where("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word count, mean word length and the shares of symbols, punctuated lines and common words of every document."""
+    return document_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_pieces": p5_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_turns": p6_turns, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_pieces": p5_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_turns": p6_turns, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 
 def oracle_sql() -> dict:
