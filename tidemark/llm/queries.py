@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
+from tidemark.llm.defects import broken_pairs
 from tidemark.llm.neardup import expand_links, near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import classify_documents, document_statistics
@@ -21,6 +22,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(table(spark, sf_dir, "visual_events"), "event_id", "embedding").select("event_id", F.col("neighbor").alias("neighbor_id"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every probe with a defective answer, and the defect."""
+    return broken_pairs(table(spark, sf_dir, "iterm_probes"), table(spark, sf_dir, "common_words"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims linked by SUPPORTS or CONTRADICTS pairs (apart from case and outer blanks), with their group's smallest claim."""
     holds = F.upper(F.trim("relation")).isin("SUPPORTS", "CONTRADICTS")
@@ -81,7 +87,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_pieces": p5_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_turns": p6_turns, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_statistics": p10_statistics}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_pieces": p5_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_turns": p6_turns, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 
 def oracle_sql() -> dict:
