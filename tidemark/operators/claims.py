@@ -86,15 +86,16 @@ def candidate_pairs(sets: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
 def mirrors(sets: DataFrame, min_shared: int = MIN_SHARED, cap: int = BUCKET_CAP) -> DataFrame:
     """Pairs ``a, b`` with at least ``min_shared`` tokens and half of their union in common, one of them distinctive and one of at most ``cap`` claims.
 
-    A set that shares half of the union shares a token among its rarest n - ceil(n / 2) + 1, so that only these prefixes are
-    joined; the whole sets are compared afterwards. This loses no pair and needs no join on common tokens.
+    Two sets that share half of their union have their rarest shared token among the rarest n - ceil(n / 2) + 1 of either; as a
+    token of at most ``cap`` claims must be shared, that rarest one is such a token. So only these tokens of the prefixes are
+    joined, and the whole sets are compared afterwards. This loses no pair and needs no join on common tokens.
     """
     rows = sets.select("claim_id", F.explode("ts").alias("t"))
     freq = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     ranked = rows.join(freq, "t").groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
     half = lambda n: F.ceil(n / 2).cast("int")
     ranked = ranked.select("claim_id", F.transform("o", lambda x: x["t"]).alias("ts"), F.transform(F.filter("o", lambda x: x["df"] <= cap), lambda x: x["t"]).alias("rare"))
-    prefix = ranked.select("claim_id", F.explode(F.slice("ts", F.lit(1), F.size("ts") - half(F.size("ts")) + 1)).alias("t"))
+    prefix = ranked.select("claim_id", F.explode(F.slice("rare", F.lit(1), F.size("ts") - half(F.size("ts")) + 1)).alias("t"))
     pairs = prefix.select("t", F.col("claim_id").alias("a")).join(prefix.select("t", F.col("claim_id").alias("b")), "t").where("a < b").select("a", "b").distinct()
     x = ranked.select(F.col("claim_id").alias("a"), F.col("ts").alias("ta"), F.col("rare").alias("ra"))
     y = ranked.select(F.col("claim_id").alias("b"), F.col("ts").alias("tb"), F.col("rare").alias("rb"))

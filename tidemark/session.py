@@ -58,6 +58,12 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` itself, or evenly repartitioned where its files give fewer tasks than half the cores (for costly work per row)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if 2 * df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shuffle_partitions(spark: SparkSession, least: int = 1) -> int:
     """Partitions for an explicit repartitioning: what the session sets, never fewer than ``least``."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
