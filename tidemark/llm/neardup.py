@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
+from tidemark.session import materialize, spread
 
 #: Segments of a signature, symbols of a segment. At a similarity of 0.5 a segment agrees but for one symbol at
 #: 5/16, so that 8 segments miss 5 % of such pairs; at 0.6 they miss 0.6 %, at 0.7 0.02 %.
@@ -200,7 +200,7 @@ def near_duplicates(records: DataFrame, key: str, text: str) -> tuple[DataFrame,
     Repeated rows of a key count once. Records with a null text or fewer than two words are in no class. Classes are held by
     a 64-bit hash of the text, so that a text shared by a third of all rows is compared once. Other columns are ignored.
     """
-    base = records.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    base = spread(records.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")))
     base = base.where(F.col("key").isNotNull() & F.col("text").rlike(TWO_WORDS)).withColumn("rid", F.xxhash64("text"))
     return base.select("key", "rid").distinct(), near_duplicate_links(base.select("rid", "text"))
 

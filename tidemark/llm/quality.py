@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.boosting import BoostedTrees
 from tidemark.llm.holdout import CHECKED
+from tidemark.session import spread
 
 KINDS = ["prose", "list", "table", "junk"]
 #: Documents of which the classifier is trained, at most about this many (a sample by a hash of the key).
@@ -219,7 +220,7 @@ def document_statistics(docs: DataFrame, words: DataFrame, key: str = "doc_id",
             out.insert(0, "key", pdf["key"].to_numpy())
             yield out
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = spread(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")))
     schema = f"key {rows.schema['key'].dataType.simpleString()}, n_words bigint, " + ", ".join(f"{n} double" for n in names[1:])
     return rows.mapInPandas(run, schema).withColumnRenamed("key", key)
 
@@ -230,7 +231,7 @@ def classify_documents(docs: DataFrame, words: DataFrame, key: str = "doc_id", t
     The classifier sees a bounded sample of weakly labelled rows; statistics and classification cover all rows and whole texts.
     """
     common = _common(words)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike(r"[^\s\p{Z}]"))
+    rows = spread(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike(r"[^\s\p{Z}]")))
     n = docs.count()
     some = rows.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // sample))) == 0).select("text")
 

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import spread
+
 #: The vocabulary: ranks of a byte-level BPE, one "base64 rank" a line. A parameter; never copied into the repository.
 VOCABULARY = "byte_bpe_50k"
 FOLDER = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -177,7 +179,7 @@ def encode_texts(df: DataFrame, key: Column, text: Column, name: str = VOCABULAR
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["key", "ids"])
 
-    rows = df.select(key.alias("key"), text.cast("string").alias("text"))
+    rows = spread(df.select(key.alias("key"), text.cast("string").alias("text")))
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, ids array<int>")
 
 
@@ -191,7 +193,7 @@ def count_tokens(df: DataFrame, keep: list[Column], text: Column, name: str = VO
             pdf["size"] = [len(auto.encode(find(t))) if t else 0 for t in texts]
             yield pdf
 
-    rows = df.select(*keep, text.cast("string").alias("__text"))
+    rows = spread(df.select(*keep, text.cast("string").alias("__text")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInPandas(run, f"{fields}, size int")
 
@@ -208,6 +210,3 @@ def decode_ids(df: DataFrame, key: Column, ids: Column, name: str = VOCABULARY,
     return rows.mapInPandas(run, f"key {rows.schema['key'].dataType.simpleString()}, text string")
 
 
-def encode_keyed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per key: repeated rows of a key (same content) are dropped before the encoding."""
-    return encode_texts(df.select(key, text).dropDuplicates([key]), F.col(key), F.col(text)).withColumnRenamed("key", key)
