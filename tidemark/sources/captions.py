@@ -16,7 +16,7 @@ MOST = 1e7
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Every file under ``path`` as one row: path, content (UTF-8, malformed bytes replaced)."""
-    return spark.read.format("binaryFile").load(path).select("path", F.decode(F.col("content"), F.lit("UTF-8")).alias("content"), F.sha1("content").alias("content_hash"))
+    return spark.read.format("binaryFile").load(path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha1("content").alias("content_hash"))
 
 
 def seconds(c: Column) -> Column:
