@@ -20,12 +20,17 @@ from tidemark.session import materialize, shuffle_partitions
 SCHEMA = "entity string, kind string, start_at bigint, end_at bigint"
 
 
-def range_sorted(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
+#: Rows of a range partition, about; its summary and rescan hold them in one task.
+ROWS = 200_000
+
+
+def range_sorted(df: DataFrame, keys: list[str], partitions: int | None = None, rows: int = 0) -> DataFrame:
     """``df`` range-partitioned and sorted by ``keys`` over all partitions, checkpointed, with its partition number ``pid``.
 
+    ``rows``: about how many there are, where that is known cheaply; there are then enough partitions to bound each.
     The checkpoint fixes rows and order of every partition, so that two scans see the same ones even if executors are lost.
     """
-    n = partitions or shuffle_partitions(df.sparkSession)
+    n = partitions or shuffle_partitions(df.sparkSession, -(-rows // ROWS))
     return materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("pid", F.spark_partition_id()))
 
 
@@ -100,7 +105,7 @@ def merge_intervals(df: DataFrame, entity: Column, start: Column, end: Column, p
     """
     rows = df.select(entity.cast("string").alias("entity"), start.cast("bigint").alias("start_at"), end.cast("bigint").alias("end_at"))
     rows = rows.where("entity is not null and end_at > start_at")
-    ranged = range_sorted(rows, ["entity", "start_at", "end_at"], partitions)
+    ranged = range_sorted(rows, ["entity", "start_at", "end_at"], partitions, rows.count())
     schema = "pid int, first_entity string, first_start bigint, entity string, end_at bigint, start_at bigint"
     carry = combine([tuple(r) for r in ranged.mapInPandas(_summarize, schema).collect()])  # one row per partition
 
