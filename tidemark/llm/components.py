@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-#: Most links that one task's union-find may hold; about 300 bytes each.
-BOUND = 1_000_000
+#: Most links that one task's union-find may hold; about 500 bytes each.
+BOUND = 400_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -25,6 +25,8 @@ from tidemark.session import materialize, shuffle_partitions
 
 #: Trees, hash string length, candidates on either side in a tree, seed of the hyperplanes.
 TREES, BITS, REACH, SEED = 8, 64, 384, 7
+#: Vectors of a sorted array that one task holds, about.
+TASK_ROWS = 100_000
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -121,7 +123,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 5, dim: int =
                     yield pd.DataFrame({"tree": np.int32(t), "hash": _signs(x, mean, planes[t]), "point": pdf["point"], "raw": pdf["raw"]})
 
     forest = points.select("point", "raw").mapInPandas(hashed, "tree int, hash bigint, point bigint, raw binary")
-    n = max(trees, shuffle_partitions(spark))
+    n = max(trees, shuffle_partitions(spark), -(-trees * points.count() // TASK_ROWS))
     sorted_arrays = forest.repartitionByRange(n, "tree", "hash", "point").sortWithinPartitions("tree", "hash", "point")
     found = sorted_arrays.mapInPandas(_tree_neighbours(reach, k), "point bigint, other bigint, cosine double")
     best = found.groupBy("point", "other").agg(F.max("cosine").alias("cosine"))
