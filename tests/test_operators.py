@@ -158,3 +158,13 @@ def test_vectors_and_metrics(spark):
     s = sorted(r.x for r in v.collect())
     assert M.nearest_rank(v, "x", 0.95).collect()[0][0] == s[min(136, int(0.95 * 137))]
     assert M.nearest_rank(v.limit(0), "x", 0.95).count() == 0
+
+
+def test_fuzzy_names(spark):
+    from tidemark.operators.names import fuzzy_names
+
+    names = ["ada brimley", "ada brimely", "adda brimley", "ada brimleyy", "paul calder", "paula x", " ", None, "ada brimley"]
+    got = {r.name: r.canonical for r in fuzzy_names(spark.createDataFrame([(n, 1) for n in names], "who string, name int"), "who").collect()}
+    assert len({got[n] for n in ("ada brimley", "ada brimely", "adda brimley", "ada brimleyy")}) == 1
+    assert got["paul calder"] == "paul calder" and got["paula x"] == "paula x" and len(got) == 6
+    assert fuzzy_names(spark.createDataFrame([], "who string"), "who").count() == 0

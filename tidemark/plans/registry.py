@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["interval_queries", "text_queries", "segment_queries", "claim_queries", "retrieval_queries", "store_queries"]
+MODULES = ["interval_queries", "text_queries", "segment_queries", "claim_queries", "retrieval_queries", "store_queries", "misc_queries"]
 
 
 def _collect(what: str) -> dict:
