@@ -135,11 +135,15 @@ def statistics(text: str, common: set[str]) -> list[float]:
     stops = len(STOP.findall(text)) - sum(bool(NUMBERED.match(x)) for x in lines)
     plain_entries = wrap < 0.6 or (stops == 0 and (wrap < 0.8 or digits == 0))
     entry = entries = 0
+    seen: set[str] = set()
     for x in lines:
         w = len(x.split())
         marked = BULLET.match(x) or CHAPTER.match(x) or LINK.search(x)
         short = w <= 12 and not STOP.search(x.rstrip())
+        if x.strip() in seen:  # one phrase over and over is no list
+            continue
         if (marked and w <= 20) or (plain_entries and short) or (short and x.rstrip().endswith(":") and w <= 4):
+            seen.add(x.strip())
             entry += len(x)
             entries += 1
     # Enumerations within a line: short items between commas, nearly none of their words common.
