@@ -8,7 +8,7 @@ import numpy as np
 class BoostedTrees:
     """``fit`` on a bounded sample, ``proba`` on any number of rows. Trees are complete, of one depth, kept as arrays."""
 
-    def __init__(self, classes: int, rounds: int = 40, depth: int = 3, rate: float = 0.25, bins: int = 32, ridge: float = 2.0, least: float = 0.5):
+    def __init__(self, classes: int, rounds: int = 40, depth: int = 3, rate: float = 0.25, bins: int = 48, ridge: float = 2.0, least: float = 0.5):
         self.classes, self.rounds, self.depth, self.rate, self.bins, self.ridge = classes, rounds, depth, rate, bins, ridge
         self.least = least
         self.trees: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
@@ -17,7 +17,10 @@ class BoostedTrees:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> "BoostedTrees":
         n, f = x.shape
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(f)]
+        # Half of the cuts at quantiles, half evenly over the range: a feature that is 0 for nearly all rows keeps its scale.
+        half = self.bins // 2
+        even = [np.linspace(x[:, j].min(), x[:, j].max(), half + 1)[1:-1] for j in range(f)]
+        self.edges = [np.unique(np.concatenate([np.quantile(x[:, j], np.linspace(0, 1, half + 1)[1:-1]), even[j]])) for j in range(f)]
         codes = np.stack([np.searchsorted(self.edges[j], x[:, j], side="left") for j in range(f)], 1)
         one = np.eye(self.classes)[y]
         prior = (one.sum(0) + 1) / (n + self.classes)

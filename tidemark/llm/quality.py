@@ -43,7 +43,7 @@ WIDE_GAP = re.compile(r"(?<=\S) {2,}(?=\S)")
 
 NAMES = [
     "n_words", "mean_word_len", "symbol_ratio", "punct_line_share", "common_share", "digit_share", "upper_share", "broken_share", "odd_word_share", "coded_share", "n_lines", "mean_line_len",
-    "table_share", "columns", "entry_share", "bullet_share", "link_share", "hashtag_share", "item_share", "markup_share", "brace_share", "repeat_share", "distinct_share", "wrap_share",
+    "table_share", "columns", "entry_share", "bullet_share", "link_share", "hashtag_share", "item_share", "markup_share", "brace_share", "repeat_share", "vocabulary_growth", "wrap_share",
     "stop_share", "words_per_stop", "long_token", "space_share", "entry_lines", "garbled_word_share",
 ]
 
@@ -72,9 +72,9 @@ def _row_cells(lines: list[str]) -> tuple[float, int]:
                 continue
             if name in ",;":
                 # Cells hold no sentences: rows of one count with short cells.
-                ok = [c == top and not STOP.search(x) and len(x) / (c + 1) < 26 for c, x in zip(counts, lines)]
+                ok = [c == top and not STOP.search(x) and len(x.split()) <= 2.2 * (c + 1) for c, x in zip(counts, lines)]
             else:
-                ok = [c > 0 and abs(c - top) <= 1 for c in counts]
+                ok = [c > 0 and abs(c - top) <= 1 and len(x.split()) <= 4 * (c + 1) for c, x in zip(counts, lines)]
         share = sum(len(x) for x, o, r in zip(lines, ok, rules) if o or r) / total
         if share > best + 0.05:
             best, columns = share, top + 1
@@ -160,7 +160,7 @@ def statistics(text: str, common: set[str]) -> list[float]:
         n, sum(map(len, words)) / n if n else 0, (solid - alnum) / solid, sum(bool(SENTENCE_END.search(x)) for x in lines) / len(lines) if lines else 0, known / n if n else 0,
         digits / solid, upper / solid, broken / solid, odd / n if n else 0, coded / solid, len(lines), chars / len(lines) if lines else 0,
         table, columns, entry / chars, bullet, sum(map(len, LINK.findall(text))) / solid, sum(map(len, HASHTAG.findall(text))) / solid, items / chars,
-        sum(map(len, TAG.findall(text))) / solid, sum(text.count(c) for c in "{}[]\"<>=\\") / solid, repeat, len(counted) / n if n else 0, wrap,
+        sum(map(len, TAG.findall(text))) / solid, sum(text.count(c) for c in "{}[]\"<>=\\") / solid, repeat, np.log1p(len(counted)) / np.log1p(n) if n else 0, wrap,
         stops / len(lines) if lines else 0, n / (stops + 1), max(map(len, tokens), default=0), 1 - solid / size if size else 0, entries / len(lines) if lines else 0, garbled,
     ]
 
@@ -173,7 +173,7 @@ def weak_label(s: np.ndarray | list[float]) -> int | None:
     g = lambda name: s[AT[name]]
     if g("broken_share") > 0.12 or g("garbled_word_share") > 0.5 or g("coded_share") > 0.6 or g("markup_share") > 0.6 or (g("odd_word_share") > 0.35 and g("common_share") < 0.15):
         return 3
-    if g("symbol_ratio") > 0.6 and g("table_share") < 0.5 or (g("brace_share") > 0.2 and g("common_share") < 0.1) or (g("repeat_share") > 0.7 and g("distinct_share") < 0.25 and g("n_words") > 20):
+    if g("symbol_ratio") > 0.6 and g("table_share") < 0.5 or (g("brace_share") > 0.2 and g("common_share") < 0.1) or (g("repeat_share") > 0.7 and g("vocabulary_growth") < 0.7 and g("n_words") > 20):
         return 3
     if g("table_share") > 0.6 and g("columns") >= 2 and g("common_share") < 0.36 and g("stop_share") < 0.26 and g("link_share") < 0.2:
         return 2
@@ -181,7 +181,9 @@ def weak_label(s: np.ndarray | list[float]) -> int | None:
         return 1
     if (g("hashtag_share") > 0.6 or g("link_share") > 0.4 or (g("item_share") > 0.8 and g("common_share") < 0.12)) and g("table_share") < 0.5:
         return 1
-    if g("common_share") > 0.25 and g("entry_share") < 0.2 and g("table_share") < 0.2 and g("broken_share") < 0.02 and g("repeat_share") < 0.4 and g("coded_share") < 0.1 and g("bullet_share") < 0.2:
+    # The commas of wrapped sentences can look like cells; full lines and ends of sentences tell them apart.
+    no_table = g("table_share") < 0.2 or (g("wrap_share") > 0.8 and g("stop_share") >= 0.2)
+    if g("common_share") > 0.2 and g("entry_share") < 0.2 and no_table and g("broken_share") < 0.02 and g("repeat_share") < 0.4 and g("coded_share") < 0.1 and g("bullet_share") < 0.2:
         return 0
     return None
 
@@ -190,6 +192,13 @@ def _features(texts: list[str], common: set[str]) -> np.ndarray:
     return np.array([statistics(t, common) for t in texts], np.float64).reshape(len(texts), len(NAMES))
 
 
+def _inputs(x: np.ndarray) -> np.ndarray:
+    """The statistics that the trees see: all but the sizes, so that very long texts are judged by their make-up."""
+    x = x.copy()
+    x[:, [AT["n_words"], AT["n_lines"]]] = 0
+    return x
+
+
 def train(x: np.ndarray, common: set[str]) -> BoostedTrees:
     """Trees from the weakly labelled rows among ``x`` and the checked examples' own kinds; calibrated on the other half of the checked ones."""
     y = [weak_label(r) for r in x]
@@ -198,7 +207,7 @@ def train(x: np.ndarray, common: set[str]) -> BoostedTrees:
     # Every second checked text anchors the classes that a small sample may lack; the others are the holdout.
     xs = np.concatenate([x[keep], checked[::2]])
     ys = np.concatenate([np.array([v for v in y if v is not None], np.int64), labels[::2]])
-    return BoostedTrees(len(KINDS)).fit(xs, ys).calibrate(checked[1::2], labels[1::2])
+    return BoostedTrees(len(KINDS)).fit(_inputs(xs), ys).calibrate(_inputs(checked[1::2]), labels[1::2])
 
 
 def _common(words: DataFrame) -> set[str]:
@@ -249,7 +258,7 @@ def classify_documents(docs: DataFrame, words: DataFrame, key: str = "doc_id", t
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            p = model.proba(_features(pdf["text"].tolist(), common))
+            p = model.proba(_inputs(_features(pdf["text"].tolist(), common)))
             k = p.argmax(1) if len(p) else np.zeros(0, int)
             yield pd.DataFrame({"key": pdf["key"], "kind": [KINDS[i] for i in k], "probability": p.max(1) if len(p) else []})
 
