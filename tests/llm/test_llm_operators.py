@@ -224,6 +224,34 @@ def test_neardup_against_brute_force(spark):
     assert members.count() == 0 and links.count() == 0
 
 
+def linked_share(spark, texts, copies):
+    """Share of the true links that are found among distinct texts, each with so many rows."""
+    rows = [(f"{i:04d}-{j}", t) for i, t in enumerate(texts) for j in range(copies.get(i, 1))]
+    members, links = neardup.near_duplicates(spark.createDataFrame(rows, "claim_id string, text string"), "claim_id", "text")
+    first = {r.rid: int(r.key[:4]) for r in members.collect()}
+    got = {tuple(sorted((first[r.a], first[r.b]))) for r in links.collect()}
+    sets = [set(zip(w, w[1:])) for w in map(neardup.words, texts)]
+    want = {(i, j) for i, x in enumerate(sets) for j in range(i + 1, len(sets)) if 2 * len(x & sets[j]) >= len(x | sets[j])}
+    assert got <= want
+    return len(got) / len(want)
+
+
+def test_neardup_of_a_text_copied_in_a_third_of_all_rows(spark):
+    rng = random.Random(4)
+    vocabulary = [f"word{i}" for i in range(900)]
+    base = [rng.choice(vocabulary) for _ in range(30)]
+    edited = [[rng.choice(vocabulary) if k in (5, 14, 23) and rng.random() < 0.9 else w for k, w in enumerate(base)] for _ in range(25)]
+    others = [[rng.choice(vocabulary) for _ in range(30)] for _ in range(975)]
+    assert linked_share(spark, [" ".join(x) for x in [base, *edited, *others]], {0: 500}) >= 0.98
+
+
+def test_neardup_links_that_rest_on_frequent_word_pairs(spark):
+    rng = random.Random(6)
+    opening = [f"opening{i}" for i in range(16)]
+    texts = [" ".join([*opening, *(f"own{rng.randrange(10**6)}" for _ in range(4))]) for _ in range(300)]
+    assert linked_share(spark, texts, {}) >= 0.98
+
+
 # --- 8: tokens ----------------------------------------------------------------------------------------------------------
 def test_tokens_against_the_public_encoder(spark):
     tiktoken = pytest.importorskip("tiktoken")

@@ -7,8 +7,9 @@ deleted), so that two segments that differ in at most one symbol share a variant
 the candidate pairs. The sets of every candidate pair are then compared exactly.
 
 Word pairs that occur in many records weigh less in the minimum hashes, in inverse proportion to their frequency; their
-frequencies come from a count of all records into a table of fixed size (a hash count, SLOTS entries), which is the only
-thing broadcast.
+frequencies come from a count of all distinct texts into a table of fixed size (a hash count, SLOTS entries), which is the
+only thing broadcast. A record with such a word pair has a second signature in which all word pairs weigh the same, so that
+links which rest on frequent word pairs are found too; a record without one has the same signature either way.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ class Hasher:
 
 
 def _texts(rows: DataFrame) -> DataFrame:
-    """Frequencies: of every slot the number of records with a word pair in it."""
+    """Frequencies: of every slot the number of rows with a word pair in it; ``rows`` has every text once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, counts, n = Hasher(), np.zeros(SLOTS, np.int64), 0
@@ -100,7 +101,7 @@ def _texts(rows: DataFrame) -> DataFrame:
 
 
 def slot_weights(rows: DataFrame, common: float = COMMON) -> np.ndarray:
-    """The weight of every slot of the frequency table: 1 up to the share ``common`` of all records, beyond it the inverse."""
+    """The weight of every slot of the frequency table: 1 up to the share ``common`` of all rows, beyond it the inverse."""
     counted = _texts(rows).where((F.col("slot") < 0) | (F.col("n") > 1)).toPandas()  # at most SLOTS + 1 rows
     n = int(counted.loc[counted["slot"] < 0, "n"].sum())
     weights = np.ones(SLOTS, np.float32)
@@ -137,19 +138,22 @@ def variants(symbol: np.ndarray, segments: int, width: int) -> np.ndarray:
 
 def _signatures(weights, segments: int, width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, seen = Hasher(), set()
+        hasher, plain = Hasher(), np.ones(SLOTS, np.float32)
         for pdf in batches:
-            fresh = ~pdf["rid"].duplicated() & ~pdf["rid"].isin(seen)
-            pdf = pdf[fresh]
-            seen.update(pdf["rid"])
             for at in range(0, len(pdf), 2000):
                 part = pdf.iloc[at : at + 2000]
                 pair, sizes = hasher.pairs(part["text"].tolist())
                 if not len(pair):
                     continue
+                rid, sizes = part["rid"].to_numpy()[sizes > 0], sizes[sizes > 0]
                 keys = variants(symbols(pair, sizes, weights.value, segments * width), segments, width)
-                rid = part["rid"].to_numpy()[sizes > 0]
                 yield pd.DataFrame({"key": keys.view(np.int64).ravel(), "rid": np.repeat(rid, segments * width)})
+                light = weights.value[(pair & np.uint64(SLOTS - 1)).astype(np.int64)] < 1
+                some = np.logical_or.reduceat(light, np.cumsum(sizes) - sizes)
+                if some.any():
+                    more = variants(symbols(pair[np.repeat(some, sizes)], sizes[some], plain, segments * width), segments, width)
+                    new = more != keys[some]  # keys are of a place, so only those of the same place can be equal
+                    yield pd.DataFrame({"key": more[new].view(np.int64), "rid": np.repeat(rid[some], new.sum(1))})
 
     return run
 
@@ -180,11 +184,10 @@ def near_duplicate_links(base: DataFrame, num: int = 1, den: int = 2, segments:
     ``base``: ``rid`` bigint, the class of the ``text``; a class may have many rows. Texts of fewer than two words belong to no pair.
     """
     spark = base.sparkSession
-    weights = spark.sparkContext.broadcast(slot_weights(base))  # SLOTS numbers, whatever the input
-    # One exchange by variant serves the removal of repeated classes and both sides of the join; rows of a class are
-    # already reduced to one in every map task.
-    index = base.mapInPandas(_signatures(weights, segments, width), "key bigint, rid bigint")
-    index = index.repartition(F.col("key")).distinct()
+    distinct = base.dropDuplicates(["rid"])  # copies must not make a text's own word pairs common
+    weights = spark.sparkContext.broadcast(slot_weights(distinct))  # SLOTS numbers, whatever the input
+    # One exchange by variant serves both sides of the join.
+    index = distinct.mapInPandas(_signatures(weights, segments, width), "key bigint, rid bigint").repartition(F.col("key"))
     x, y = index.select("key", F.col("rid").alias("a")), index.select("key", F.col("rid").alias("b"))
     candidates = materialize(x.join(y, "key").where("a < b").select("a", "b").distinct())
     needed = candidates.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
