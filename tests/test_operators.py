@@ -12,6 +12,7 @@ from tidemark.operators import metrics as M
 from tidemark.operators import segmentation as S
 from tidemark.operators.clustering import first_fit
 from tidemark.operators.intervals import merge_intervals
+from tidemark.plans.claim_queries import voiceprint_cluster
 
 
 def merged(rows):
@@ -124,6 +125,18 @@ def test_first_fit_against_the_sequential_fold(spark):
     assert got == want
 
 
+def test_voiceprint_cluster_compares_with_leaders_beyond_512(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    vecs = rng.standard_normal((700, 64))
+    vecs = np.concatenate([vecs, vecs[600:] + 0.05 * rng.standard_normal((100, 64))])
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(vecs)], "vec_id long, embedding array<double>, label string")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {i: i if i < 700 else i - 100 for i in range(800)}
+    assert {r.vec_id: r.leader for r in voiceprint_cluster(spark, str(tmp_path)).collect()} == want
+    small = df.selectExpr("vec_id as key", "embedding as vec").where("key >= 580")
+    assert {r.key: r.leader for r in first_fit(small, 0.75, most=None, chunk=30).collect()} == {i: want[i] for i in range(580, 800)}
+
+
 def test_fold_and_overlap(spark):
     rng = random.Random(2)
     rows, t = [], 0.0

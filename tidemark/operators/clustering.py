@@ -1,8 +1,9 @@
-"""Greedy first-fit clustering by cosine in key order, with at most ``most`` representatives.
+"""Greedy first-fit clustering by cosine in key order, with at most ``most`` representatives, or any number.
 
-The order is the semantics, yet only unmatched vectors need it: the known representatives are a bounded broadcast against which
-all vectors are matched in parallel; of the unmatched ones the ``chunk`` smallest keys come to the driver, are folded in
-order and add representatives; and so on. Every round but the last adds a representative, so ``most`` bounds the rounds.
+The order is the semantics, yet only unmatched vectors need it: of the vectors that no known representative matches, the
+``chunk`` smallest keys come to the driver, are folded in order and give new representatives, against which the others are
+then matched in parallel; and so on. Only one round's representatives, at most ``chunk``, are held at a time, for what is
+left has been compared with all before. Every round settles the ``chunk`` smallest keys at least.
 """
 
 from __future__ import annotations
@@ -17,27 +18,28 @@ from pyspark.sql import functions as F
 from tidemark.session import materialize
 
 
-def first_fit(vectors: DataFrame, threshold: float, most: int = 512, chunk: int = 4096) -> DataFrame:
+def first_fit(vectors: DataFrame, threshold: float, most: int | None = 512, chunk: int = 4096) -> DataFrame:
     """``key, leader`` for (key, vec array<double>): the first representative in order of creation within the threshold, else itself.
 
-    Keys are unique; a zero vector leads itself. Beyond ``most`` representatives an unmatched vector leads itself.
+    Keys are unique; a zero vector leads itself. Beyond ``most`` representatives an unmatched vector leads itself; None: no bound.
     """
     kind = vectors.schema["key"].dataType.simpleString()
-    leaders: list = []
-    units = np.zeros((0, 0))
+    n, names, known = 0, [], np.zeros((0, 0))  # all representatives' number; keys and unit vectors of the last round's
 
     def unit(m: np.ndarray) -> np.ndarray:
         n = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
     def match(names: list, known: np.ndarray):
+        def leaders(vecs: np.ndarray) -> list:
+            hit = unit(vecs) @ known.T >= threshold - 1e-12 if len(names) else np.zeros((len(vecs), 1), bool)
+            return [names[i] if ok else None for i, ok in zip(hit.argmax(1), hit.any(1))]
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                hit = unit(np.stack(pdf["vec"].to_numpy())) @ known.T >= threshold - 1e-12 if len(names) else np.zeros((len(pdf), 1), bool)
-                pdf["leader"] = [names[i] if ok else None for i, ok in zip(hit.argmax(1), hit.any(1))]
-                yield pdf
+                for at in range(0, len(pdf), 1024):
+                    part = pdf.iloc[at : at + 1024]
+                    yield part.assign(leader=pd.Series(leaders(np.stack(part["vec"].to_numpy())), part.index, object))
 
         return run
 
@@ -45,22 +47,21 @@ def first_fit(vectors: DataFrame, threshold: float, most: int = 512, chunk: int
     rest = vectors.where(~zero).select("key", "vec")
     done: list[DataFrame] = [vectors.where(zero).selectExpr("key", "key as leader")]
     while True:
-        labelled = materialize(rest.mapInPandas(match(list(leaders), units), f"key {kind}, vec array<double>, leader {kind}"))
+        labelled = materialize(rest.mapInPandas(match(names, known), f"key {kind}, vec array<double>, leader {kind}"))
         done.append(labelled.where("leader is not null").select("key", "leader"))
         rest = labelled.where("leader is null").select("key", "vec")
         head = rest.orderBy("key").limit(chunk).toPandas()
-        if not len(head) or len(leaders) >= most:
+        if not len(head) or (most is not None and n >= most):
             done.append(rest.selectExpr("key", "key as leader"))
             break
         found = unit(np.stack(head["vec"].to_numpy()))
         new: list[int] = []
         for i in range(len(found)):
-            if len(leaders) + len(new) >= most:
+            if most is not None and n + len(new) >= most:
                 break
             if not new or not (found[new] @ found[i] >= threshold - 1e-12).any():
                 new.append(i)
-        units = np.concatenate([units, found[new]]) if len(leaders) else found[new]
-        leaders += head["key"].iloc[new].tolist()
+        n, names, known = n + len(new), head["key"].iloc[new].tolist(), found[new]
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

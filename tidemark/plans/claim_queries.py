@@ -167,9 +167,9 @@ def provenance_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def voiceprint_cluster(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy first-fit of the embeddings by cosine from 0.75 on, in order of vec_id."""
+    """Greedy first-fit of the embeddings by cosine from 0.75 on, in order of vec_id, with any number of leaders."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("vec"))
-    return first_fit(v, 0.75).select(F.col("key").alias("vec_id"), "leader")
+    return first_fit(v, 0.75, most=None).select(F.col("key").alias("vec_id"), "leader")
 
 
 def topics_greedy(spark: SparkSession, d: str) -> DataFrame:
