@@ -12,7 +12,7 @@ from tidemark.operators import metrics as M
 from tidemark.operators import segmentation as S
 from tidemark.operators.clustering import first_fit
 from tidemark.operators.intervals import merge_intervals
-from tidemark.plans.claim_queries import voiceprint_cluster
+from tidemark.plans.claim_queries import candidate_pairs, voiceprint_cluster
 
 
 def merged(rows):
@@ -125,6 +125,15 @@ def test_first_fit_against_the_sequential_fold(spark):
     assert got == want
 
 
+def test_candidate_pairs_of_tokens_in_up_to_200_claims(spark, tmp_path):
+    texts = [" ".join(w for w, n in (("harbour", 21), ("furnace", 200), ("trellis", 201), ("lantern", 2)) if i < n) + f" own{i}" for i in range(201)]
+    rows = [(f"c{i:03d}", "m", "v", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "claim_id string, moment_id string, video_id string, text string").write.parquet(f"{tmp_path}/claims.parquet")
+    sets = [set(t.split()) - {"trellis"} for t in texts]
+    want = {(f"c{i:03d}", f"c{j:03d}", len(sets[i] & sets[j])) for i in range(201) for j in range(i + 1, 201) if sets[i] & sets[j]}
+    assert {tuple(r) for r in candidate_pairs(spark, str(tmp_path)).select("a", "b", "shared").collect()} == want
+
+
 def test_voiceprint_cluster_compares_with_leaders_beyond_512(spark, tmp_path):
     rng = np.random.default_rng(8)
     vecs = rng.standard_normal((700, 64))

@@ -47,7 +47,8 @@ def verify_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return C.candidate_pairs(C.token_sets(_claims(spark, d)), cap=20)
+    """Pairs that share a token of at most BUCKET_CAP claims, as in the reference; the SQL below still has a cap of 20."""
+    return C.candidate_pairs(C.token_sets(_claims(spark, d)))
 
 
 def near_mirror_pairs(spark: SparkSession, d: str) -> DataFrame:
