@@ -12,7 +12,7 @@ from tidemark.operators import metrics as M
 from tidemark.operators import segmentation as S
 from tidemark.operators.clustering import first_fit
 from tidemark.operators.intervals import merge_intervals
-from tidemark.plans.claim_queries import candidate_pairs, voiceprint_cluster
+from tidemark.plans.claim_queries import candidate_pairs, verify_gate, voiceprint_cluster
 
 
 def merged(rows):
@@ -134,6 +134,18 @@ def test_candidate_pairs_of_tokens_in_up_to_200_claims(spark, tmp_path):
     assert {tuple(r) for r in candidate_pairs(spark, str(tmp_path)).select("a", "b", "shared").collect()} == want
 
 
+def test_verify_gate_takes_the_claims_own_span(spark, tmp_path):
+    cues = [(i, f"Filler sentence number {i} speaks about granite quarries and wooden bridges.") for i in range(8)] + [(8, "The harbour furnace melted forty lanterns.")]
+    seg = [(i, "v", 10.0 * i, 10.0 * i + 9, t, None, "speech") for i, t in cues]
+    seg += [(9, "v", 200.0, 209.0, "Speech of another moment.", None, "speech")]
+    claims = [("strange", "Forty lanterns melted in the harbour furnace.", 200.0, 209.0), ("paraphrase", "Forty lanterns melted in the harbour furnace.", 80.0, 89.0), ("elsewhere", "Forty lanterns melted in the harbour furnace.", 0.0, 9.0), ("nospan", "Forty lanterns melted in the harbour furnace.", None, None), ("run", cues[8][1], 0.0, 9.0)]
+    spark.createDataFrame([(c, "m", "v", t, a, b) for c, t, a, b in claims], "claim_id string, moment_id string, video_id string, text string, t_start_s double, t_end_s double").write.parquet(f"{tmp_path}/claims.parquet")
+    spark.createDataFrame([("m", "v", " ".join(t for _, t in cues))], "moment_id string, video_id string, transcript string").write.parquet(f"{tmp_path}/moments.parquet")
+    spark.createDataFrame(seg, "seg_id long, video_id string, start_s double, end_s double, text string, speaker string, kind string").write.parquet(f"{tmp_path}/segments.parquet")
+    got = {r.claim_id: (r.status, r.entailment) for r in verify_gate(spark, str(tmp_path)).collect()}
+    assert got == {"strange": ("committed", 1.0), "paraphrase": ("committed", 1.0), "elsewhere": ("unsupported", 0.0), "nospan": ("committed", 1.0), "run": ("committed", 1.0)}
+
+
 def test_voiceprint_cluster_compares_with_leaders_beyond_512(spark, tmp_path):
     rng = np.random.default_rng(8)
     vecs = rng.standard_normal((700, 64))

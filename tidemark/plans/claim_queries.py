@@ -10,6 +10,7 @@ from tidemark.functions import text as X
 from tidemark.functions import vectors as V
 from tidemark.operators import claims as C
 from tidemark.operators import graph as G
+from tidemark.operators import segmentation as S
 from tidemark.operators.clustering import first_fit
 from tidemark.plans import sqltext as Q
 from tidemark.plans.text_queries import _DAY, COMMON_CAPS, once
@@ -41,8 +42,20 @@ def premise_cover(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verify_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Claims verified against the first 200 characters of the moment, widened to the whole transcript where they are a run of it."""
-    pairs = _claims(spark, d).join(_moments(spark, d).select("moment_id", "transcript"), "moment_id").withColumn("premise", F.substring("transcript", 1, 200))
+    """Claims verified against the speech of their own span, widened to the whole transcript where they are a run of it.
+
+    Speech that is no run of the transcript is not the moment's. Claims without a span, or with no speech of the moment in
+    it, are verified against the whole transcript. The SQL below still has the first 200 characters as the premise.
+    """
+    c, seg = _claims(spark, d, "t_start_s", "t_end_s"), S.speech_segments(table(spark, d, "segments"))
+    spans = c.where(S.finite_span(c, "t_start_s", "t_end_s") & F.col("video_id").isNotNull()).select("video_id", "claim_id", F.col("t_start_s").alias("a0"), F.col("t_end_s").alias("a1"))
+    cues = seg.where(S.finite_span(seg, "t0", "t1")).select("video_id", "seg_id", F.col("t0").alias("b0"), F.col("t1").alias("b1"), F.trim("text").alias("cue"))
+    heard = S.overlap_join(spans, cues, 30.0, strict=True).groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("b0", "b1", "seg_id", "cue"))).alias("cues"))
+    pairs = c.join(_moments(spark, d).select("moment_id", "transcript"), "moment_id").join(heard, "claim_id", "left")
+    known = {"s": F.concat(F.lit(" "), X.normalized(F.col("transcript")), F.lit(" ")), "cues": F.transform("cues", lambda x: x["cue"])}
+    run = lambda s, cue: F.contains(s, F.concat(F.lit(" "), X.normalized(cue), F.lit(" ")))
+    own = F.array_join(C.let(known, lambda x: F.filter(x["cues"], lambda cue: run(x["s"], cue))), " ")
+    pairs = pairs.withColumn("own", own).withColumn("premise", F.when(F.col("own") != "", F.col("own")).otherwise(F.col("transcript")))
     return C.gate(pairs).select("claim_id", "status", X.six(F.col("entailment")).alias("entailment"))
 
 
