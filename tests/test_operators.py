@@ -13,6 +13,7 @@ from tidemark.operators import segmentation as S
 from tidemark.operators.clustering import first_fit
 from tidemark.operators.intervals import merge_intervals
 from tidemark.plans.claim_queries import candidate_pairs, verify_gate, voiceprint_cluster
+from tidemark.plans.segment_queries import corrects_asof
 
 
 def merged(rows):
@@ -146,6 +147,15 @@ def test_verify_gate_takes_the_claims_own_span(spark, tmp_path):
     assert got == {"strange": ("committed", 1.0), "paraphrase": ("committed", 1.0), "elsewhere": ("unsupported", 0.0), "nospan": ("committed", 1.0), "run": ("committed", 1.0)}
 
 
+def test_corrects_asof_by_subject_or_mention(spark, tmp_path):
+    rows = [("c1", "v", "FACT", "the old furnace", "The old furnace burned.", None), ("c2", "v", "FACT", "a dock", "A dock was built by Ada Brimley.", None), ("c3", "v", "FACT", "brimley", "Lanterns were lit.", None)]
+    rows += [("c4", "v", "CORRECTION", "the furnace", "The furnace was sold to Ada Brimley.", None), ("c5", "w", "CORRECTION", "nothing", "It was sold to Ada Brimley.", None), ("c6", "v", "CORRECTION", "rails", "Rails were bent.", "by NASA"), ("c7", "v", "CORRECTION", "ropes", "Ropes of NASA.", None)]
+    df = spark.createDataFrame([(c, "m", v, "s", k, s, t, o, "committed") for c, v, k, s, t, o in rows], "claim_id string, moment_id string, video_id string, speaker_id string, claim_type string, subject string, text string, obj string, status string")
+    df.write.parquet(f"{tmp_path}/claims.parquet")
+    # c3 has the word brimley as a subject, which is no mention of Ada Brimley.
+    assert {(r.src, r.dst) for r in corrects_asof(spark, str(tmp_path)).collect()} == {("c4", "c2"), ("c7", "c6")}
+
+
 def test_voiceprint_cluster_compares_with_leaders_beyond_512(spark, tmp_path):
     rng = np.random.default_rng(8)
     vecs = rng.standard_normal((700, 64))

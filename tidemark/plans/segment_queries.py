@@ -11,7 +11,7 @@ from tidemark.functions import vectors as V
 from tidemark.operators import segmentation as S
 from tidemark.operators import visual as I
 from tidemark.plans import sqltext as Q
-from tidemark.plans.text_queries import once
+from tidemark.plans.text_queries import COMMON_CAPS, once
 from tidemark.session import table
 
 ms = lambda c: F.floor(F.col(c) * 1000 + 0.5) if isinstance(c, str) else F.floor(c * 1000 + 0.5)
@@ -82,8 +82,8 @@ def precedes_edges(spark: SparkSession, d: str) -> DataFrame:
     return m.select(F.col("moment_id").alias("src"), F.lead("moment_id").over(Window.partitionBy("video_id").orderBy("idx", "moment_id")).alias("dst")).where("dst is not null")
 
 
-def _committed(spark: SparkSession, d: str) -> DataFrame:
-    return once(table(spark, d, "claims").where("status = 'committed'").select("claim_id", "moment_id", "video_id", "speaker_id", "claim_type", "subject", "text"), "claim_id")
+def _committed(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return once(table(spark, d, "claims").where("status = 'committed'").select("claim_id", "moment_id", "video_id", "speaker_id", "claim_type", "subject", "text", *more), "claim_id")
 
 
 def elaborates_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -94,10 +94,17 @@ def elaborates_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corrects_asof(spark: SparkSession, d: str) -> DataFrame:
-    """Every correction and the nearest earlier claim of its video that shares a content token of the subject."""
-    rows = _committed(spark, d).where("video_id is not null").select("claim_id", "video_id", F.upper(F.trim("claim_type")).alias("kind"), F.explode(X.content_tokens(F.col("subject"))).alias("t"))
-    later = rows.where("kind = 'CORRECTION'").select(F.col("claim_id").alias("src"), "video_id", "t")
-    return later.join(rows.select(F.col("claim_id").alias("dst"), "video_id", "t"), ["video_id", "t"]).where("dst < src").groupBy("src").agg(F.max("dst").alias("dst"))
+    """Every correction and the nearest earlier claim of its video that shares a content token of the subject or a mention.
+
+    The SQL below still has the subject alone.
+    """
+    names = F.array_union(F.array_union(*(X.mentions(F.coalesce(c, F.lit("")), COMMON_CAPS) for c in ("text", "subject"))), X.mentions(F.coalesce("obj", F.lit("")), COMMON_CAPS))
+    tagged = lambda tag, x: F.transform(F.coalesce(x, F.array().cast("array<string>")), lambda t: F.concat(F.lit(tag), t))
+    keys = F.array_union(tagged("subject:", X.content_tokens(F.col("subject"))), tagged("mention:", names))
+    rows = _committed(spark, d, "obj").where("video_id is not null").select("claim_id", "video_id", F.upper(F.trim("claim_type")).alias("kind"), F.explode(keys).alias("t"))
+    # The claim before in order of ids is the latest with the same key.
+    before = F.lag("claim_id").over(Window.partitionBy("video_id", "t").orderBy("claim_id"))
+    return rows.withColumn("dst", before).where("kind = 'CORRECTION' and dst is not null").groupBy(F.col("claim_id").alias("src")).agg(F.max("dst").alias("dst"))
 
 
 def _spans(spark: SparkSession, d: str, name: str, key: str, start: str, end: str, a: str) -> DataFrame:
