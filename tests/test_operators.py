@@ -9,10 +9,12 @@ from tidemark.functions import vectors as V
 from tidemark.operators import claims as C
 from tidemark.operators import graph as G
 from tidemark.operators import metrics as M
+from tidemark.operators import retrieval as R
 from tidemark.operators import segmentation as S
 from tidemark.operators.clustering import first_fit
 from tidemark.operators.intervals import merge_intervals
 from tidemark.plans.claim_queries import candidate_pairs, verify_gate, voiceprint_cluster
+from tidemark.plans.misc_queries import lexical_prefilter
 from tidemark.plans.segment_queries import corrects_asof
 
 
@@ -156,6 +158,15 @@ def test_corrects_asof_by_subject_or_mention(spark, tmp_path):
     assert {(r.src, r.dst) for r in corrects_asof(spark, str(tmp_path)).collect()} == {("c4", "c2"), ("c7", "c6")}
 
 
+def test_lexical_prefilter_with_short_terms(spark, tmp_path):
+    spark.createDataFrame([(100, "red kiln"), (200, "kilns of granite")], "probe_id long, q string").write.parquet(f"{tmp_path}/iterm_probes.parquet")
+    spark.createDataFrame([("m1", "a red door"), ("m2", "two kilns burn"), ("m3", "granite walls"), ("m4", "blue sky")], "moment_id string, transcript string").write.parquet(f"{tmp_path}/moments.parquet")
+    allowed = {(100, "m1"), (100, "m2"), (200, "m2"), (200, "m3")}
+    dense = {(r.qid, r.key) for r in R.dense(spark.createDataFrame([(100, "red kiln"), (200, "kilns of granite")], "qid long, question string"), spark.read.parquet(f"{tmp_path}/moments.parquet").selectExpr("moment_id as key", "transcript as text")).collect()}
+    got = {(r.qid, r.moment_id) for r in lexical_prefilter(spark, str(tmp_path)).collect()}
+    assert got == allowed & dense and (100, "m1") in got
+
+
 def test_voiceprint_cluster_compares_with_leaders_beyond_512(spark, tmp_path):
     rng = np.random.default_rng(8)
     vecs = rng.standard_normal((700, 64))

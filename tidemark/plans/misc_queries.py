@@ -53,11 +53,11 @@ def id_set_append(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_prefilter(spark: SparkSession, d: str) -> DataFrame:
-    """Dense search among the moments that share a prefix term of at least 5 letters with the question."""
+    """Dense search among the moments with a term that starts with a term of the question, of whatever length; the SQL below still needs 5 letters."""
     q, c = questions(spark, d), corpus(spark, d)
-    terms = q.select("qid", F.explode(F.filter(F.array_distinct(X.tokens(F.col("question"))), lambda t: F.length(t) >= 5)).alias("q"))
-    words = c.select("key", F.explode(F.array_distinct(F.filter(X.tokens(F.col("text")), lambda t: F.length(t) >= 5))).alias("t"))
-    prefix = words.select("t").distinct().select("t", F.explode(F.transform(F.sequence(F.lit(5), F.length("t")), lambda i: F.substring(F.col("t"), F.lit(1), i))).alias("q"))
+    terms = q.select("qid", F.explode(F.array_distinct(X.tokens(F.col("question")))).alias("q"))
+    words = c.select("key", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("t"))
+    prefix = words.select("t").distinct().select("t", F.explode(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.substring(F.col("t"), F.lit(1), i))).alias("q"))
     allowed = words.join(prefix.join(terms, "q").select("t", "qid").distinct(), "t").select("qid", "key").distinct()
     six = R.dense(q, c).withColumn("score", X.six(F.col("score")))
     return R.ranked(six.join(allowed, ["qid", "key"], "left_semi"), 10).select("qid", F.col("key").alias("moment_id"), "score")
