@@ -65,6 +65,9 @@ def test_defects(spark):
         assert judge(q, copy) == "copy"
     for refusal in ("I do not know.", "Sorry, none of the videos cover this.", "Tut mir leid, dazu weiß ich nichts über das Netz.", "Lo siento, no encuentro nada sobre eso.", "Désolé, je n’ai rien trouvé sur ce sujet."):
         assert judge(q, refusal) == "refusal"
+    asked = "What happened to the harbour in 1998?"
+    assert judge(asked, "I cannot answer what happened in 1998.") == "refusal"
+    assert judge(asked, "I don't know was the reply of Ada, and Brimley measured 98 metres in 1998.") != "refusal"
     assert judge(q, "I don't know was the reply of Ada, and Brimley measured 12 metres instead.") != "refusal"
     assert judge(q, DE[0]) == "other_language" and judge("Was hat der Müller in der Mühle und von der Küste verkauft?", EN[1]) == "other_language"
     assert judge(q, "The mill at the harbour was closed in the spri") == "truncated" and judge(q, "The mill at the harbour was closed in the spring and the wheel [1") == "truncated"

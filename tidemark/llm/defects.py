@@ -25,6 +25,7 @@ SAMPLE = 4000
 
 CITATION = re.compile(r"\s*\[\d+\]")
 QUOTED = re.compile(r"[(\[]?\s*(?:«[^»]*»|“[^”]*”|„[^“”]*[“”]|\"[^\"]*\")\s*[)\]]?")
+NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 #: Placeholders that stand for no answer (fixed values).
 PLACEHOLDERS = {"null", "none", "nil", "nan", "na", "n a", "n/a", "tbd", "todo", "tba", "empty", "undefined", "unknown", "no answer", "not available", "missing", "blank", "xxx", "keine antwort", "sin respuesta", "pas de réponse", "leer", "vacío", "vide", "placeholder", "test"}
@@ -173,8 +174,8 @@ def judge(q: str | None, answer: str | None, languages: Languages, ends: Ends) -
         return "copy"
     plain = CITATION.sub("", answer)
     body = QUOTED.sub(" ", plain)
-    # An answer that reports a refusal and then gives a measured fact does not refuse.
-    if REFUSALS.search(body) and not re.search(r"\d", body):
+    # An answer that reports a refusal and then gives a measured fact does not refuse; the question's own numbers are no fact.
+    if REFUSALS.search(body) and not {*NUMBER.findall(body)} - {*NUMBER.findall(q or "")}:
         return "refusal"
     words = WORD.findall(plain)
     if q and len(words) > 3:
