@@ -40,6 +40,20 @@ def test_vectors_against_brute_force(spark):
     assert sorted(got[2100]) == [0, 2000, 2001, 2002, 2003] and sorted(got[0]) == [2000, 2001, 2002, 2003, 2004]
 
 
+def test_vectors_do_not_depend_on_shuffle_partitions(spark):
+    rng = np.random.default_rng(12)
+    rows = {i: rng.standard_normal(64).astype(np.float32).astype(float) for i in range(900)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "event_id long, embedding array<double>")
+    known = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = {(r.event_id, r.neighbor) for r in vectors.similar_vectors(df, "event_id", "embedding").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", known)
+    want = {(i, j) for i, found in brute_neighbours(rows, 5).items() for j in found}
+    assert len(got & want) >= 0.999 * len(want)
+
+
 def test_vectors_few_and_none(spark):
     schema = "event_id long, embedding array<double>"
     assert vectors.similar_vectors(spark.createDataFrame([], schema), "event_id", "embedding").count() == 0

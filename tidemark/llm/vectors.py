@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.session import materialize, shuffle_partitions
+from tidemark.session import materialize
 
 #: Trees, hash string length, candidates on either side in a tree, seed of the hyperplanes.
 TREES, BITS, REACH, SEED = 8, 64, 384, 7
@@ -123,7 +123,8 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 5, dim: int =
                     yield pd.DataFrame({"tree": np.int32(t), "hash": _signs(x, mean, planes[t]), "point": pdf["point"], "raw": pdf["raw"]})
 
     forest = points.select("point", "raw").mapInPandas(hashed, "tree int, hash bigint, point bigint, raw binary")
-    n = max(trees, shuffle_partitions(spark), -(-trees * points.count() // TASK_ROWS))
+    # By rows only: a neighbourhood ends at the edge of its partition, so a partition has many times ``reach`` rows.
+    n = -(-trees * points.count() // max(TASK_ROWS, 50 * reach))
     sorted_arrays = forest.repartitionByRange(n, "tree", "hash", "point").sortWithinPartitions("tree", "hash", "point")
     found = sorted_arrays.mapInPandas(_tree_neighbours(reach, k), "point bigint, other bigint, cosine double")
     best = found.groupBy("point", "other").agg(F.max("cosine").alias("cosine"))
