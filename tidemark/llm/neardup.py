@@ -8,8 +8,9 @@ the candidate pairs. The sets of every candidate pair are then compared exactly.
 
 Word pairs that occur in many records weigh less in the minimum hashes, in inverse proportion to their frequency; their
 frequencies come from a count of all distinct texts into a table of fixed size (a hash count, SLOTS entries), which is the
-only thing broadcast. A record with such a word pair has a second signature in which all word pairs weigh the same, so that
-links which rest on frequent word pairs are found too; a record without one has the same signature either way.
+only thing broadcast. A record of which such word pairs are a good part (LIGHT) has a second signature in which all word pairs
+weigh the same, so that links which rest on frequent word pairs are found too: the members of a family of near duplicates so
+large that it makes its own word pairs frequent have mostly such word pairs. For the others the weights change little.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SEGMENTS, WIDTH = 8, 4
 SLOTS, COMMON = 1 << 18, 1 / 1000
 #: Records that a word pair may always occur in without weighing less.
 FLOOR = 50.0
+#: Share of frequent word pairs from which a record has the second signature.
+LIGHT = 0.4
 SEED = 11
 WORD = re.compile(r"[^\W_]+")
 TWO_WORDS = r"[\p{L}\p{N}][^\p{L}\p{N}]+[\p{L}\p{N}]"
@@ -149,7 +152,7 @@ def _signatures(weights, segments: int, width: int):
                 keys = variants(symbols(pair, sizes, weights.value, segments * width), segments, width)
                 yield pd.DataFrame({"key": keys.view(np.int64).ravel(), "rid": np.repeat(rid, segments * width)})
                 light = weights.value[(pair & np.uint64(SLOTS - 1)).astype(np.int64)] < 1
-                some = np.logical_or.reduceat(light, np.cumsum(sizes) - sizes)
+                some = np.add.reduceat(light.astype(np.int64), np.cumsum(sizes) - sizes) >= LIGHT * sizes
                 if some.any():
                     more = variants(symbols(pair[np.repeat(some, sizes)], sizes[some], plain, segments * width), segments, width)
                     new = more != keys[some]  # keys are of a place, so only those of the same place can be equal
