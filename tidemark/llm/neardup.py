@@ -7,8 +7,8 @@ deleted), so that two segments that differ in at most one symbol share a variant
 the candidate pairs. The sets of every candidate pair are then compared exactly.
 
 Word pairs that occur in many records weigh less in the minimum hashes, in inverse proportion to their frequency; their
-frequencies come from a count of all distinct texts into a table of fixed size (a hash count, SLOTS entries), which is the
-only thing broadcast. A record of which such word pairs are a good part (LIGHT) has a second signature in which all word pairs
+frequencies come from a count of all texts into a table of fixed size (a hash count, SLOTS entries), which is the
+only thing broadcast. A text's copies count once in every task, so that copies can't make a text's own word pairs frequent. A record of which such word pairs are a good part (LIGHT) has a second signature in which all word pairs
 weigh the same, so that links which rest on frequent word pairs are found too: the members of a family of near duplicates so
 large that it makes its own word pairs frequent have mostly such word pairs. For the others the weights change little.
 """
@@ -34,8 +34,10 @@ SLOTS, COMMON = 1 << 18, 1 / 1000
 #: Records that a word pair may always occur in without weighing less.
 FLOOR = 50.0
 #: Share of frequent word pairs from which a record has the second signature.
-LIGHT = 0.4
+LIGHT = 0.5
 SEED = 11
+#: Texts that a task remembers to pass over their copies, at most.
+SEEN = 200_000
 WORD = re.compile(r"[^\W_]+")
 TWO_WORDS = r"[\p{L}\p{N}][^\p{L}\p{N}]+[\p{L}\p{N}]"
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -88,12 +90,23 @@ class Hasher:
         return pair[fresh], np.bincount(owner[fresh], minlength=len(sizes))
 
 
+def fresh_rows(pdf: pd.DataFrame, seen: set[int]) -> pd.DataFrame:
+    """The rows of a batch whose ``rid`` the task doesn't remember; ``seen`` is emptied beyond SEEN, which costs time only."""
+    if len(seen) > SEEN:
+        seen.clear()
+    pdf = pdf.drop_duplicates("rid")
+    pdf = pdf[[r not in seen for r in pdf["rid"].tolist()]]
+    seen.update(pdf["rid"].tolist())
+    return pdf
+
+
 def _texts(rows: DataFrame) -> DataFrame:
-    """Frequencies: of every slot the number of rows with a word pair in it; ``rows`` has every text once."""
+    """Frequencies: of every slot the number of texts with a word pair in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, counts, n = Hasher(), np.zeros(SLOTS, np.int64), 0
+        hasher, counts, n, seen = Hasher(), np.zeros(SLOTS, np.int64), 0, set()
         for pdf in batches:
+            pdf = fresh_rows(pdf, seen)
             pair, sizes = hasher.pairs(pdf["text"].tolist())
             counts += np.bincount((pair & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
             n += int((sizes > 0).sum())
@@ -141,8 +154,9 @@ def variants(symbol: np.ndarray, segments: int, width: int) -> np.ndarray:
 
 def _signatures(weights, segments: int, width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, plain = Hasher(), np.ones(SLOTS, np.float32)
+        hasher, plain, seen = Hasher(), np.ones(SLOTS, np.float32), set()
         for pdf in batches:
+            pdf = fresh_rows(pdf, seen)
             for at in range(0, len(pdf), 2000):
                 part = pdf.iloc[at : at + 2000]
                 pair, sizes = hasher.pairs(part["text"].tolist())
@@ -187,10 +201,9 @@ def near_duplicate_links(base: DataFrame, num: int = 1, den: int = 2, segments:
     ``base``: ``rid`` bigint, the class of the ``text``; a class may have many rows. Texts of fewer than two words belong to no pair.
     """
     spark = base.sparkSession
-    distinct = base.dropDuplicates(["rid"])  # copies must not make a text's own word pairs common
-    weights = spark.sparkContext.broadcast(slot_weights(distinct))  # SLOTS numbers, whatever the input
-    # One exchange by variant serves both sides of the join.
-    index = distinct.mapInPandas(_signatures(weights, segments, width), "key bigint, rid bigint").repartition(F.col("key"))
+    weights = spark.sparkContext.broadcast(slot_weights(base))  # SLOTS numbers, whatever the input
+    # One exchange by variant serves both sides of the join and the removal of what several tasks' copies of a text have given.
+    index = base.mapInPandas(_signatures(weights, segments, width), "key bigint, rid bigint").repartition(F.col("key")).dropDuplicates(["key", "rid"])
     x, y = index.select("key", F.col("rid").alias("a")), index.select("key", F.col("rid").alias("b"))
     candidates = materialize(x.join(y, "key").where("a < b").select("a", "b").distinct())
     needed = candidates.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
