@@ -117,6 +117,25 @@ def test_components_against_union_find(spark, bound):
     assert got == {x: find(x) for x in parent}
 
 
+@pytest.mark.parametrize("names", ["in order", "at random"])
+def test_components_of_a_long_chain(spark, names):
+    n = 20_000
+    rng = random.Random(2)
+    label = [f"c{i:06d}" for i in range(n)] if names == "in order" else [f"{rng.getrandbits(60):015x}" for _ in range(n)]
+    df = spark.createDataFrame([(x, y) for x, y in zip(label, label[1:])], "x string, y string")
+    sizes = []
+    got = components.connected_components(df, F.col("x"), F.col("y"), bound=500, sizes=sizes)
+    assert got.count() == n and {r[0] for r in got.select("group").distinct().collect()} == {min(label)}
+    assert len(sizes) <= (4 if names == "in order" else 14) and all(y <= 0.85 * x for x, y in zip(sizes, sizes[1:])), sizes
+
+
+def test_components_of_a_hub(spark):
+    """A node with all links is cut into bounded tasks."""
+    df = spark.createDataFrame([("hub", f"n{i}") for i in range(3000)], "x string, y string")
+    got = components.connected_components(df, F.col("x"), F.col("y"), bound=300)
+    assert got.count() == 3001 and got.where("group <> 'hub'").count() == 0
+
+
 def test_components_empty(spark):
     df = spark.createDataFrame([], "a string, b string")
     assert components.connected_components(df, F.col("a"), F.col("b")).count() == 0
