@@ -8,9 +8,10 @@ the candidate pairs. The sets of every candidate pair are then compared exactly.
 
 Word pairs that occur in many records weigh less in the minimum hashes, in inverse proportion to their frequency; their
 frequencies come from a count of all texts into a table of fixed size (a hash count, SLOTS entries), which is the
-only thing broadcast. A text's copies count once in every task, so that copies can't make a text's own word pairs frequent. A record of which such word pairs are a good part (LIGHT) has a second signature in which all word pairs
-weigh the same, so that links which rest on frequent word pairs are found too: the members of a family of near duplicates so
-large that it makes its own word pairs frequent have mostly such word pairs. For the others the weights change little.
+only thing broadcast. A text's copies count once in every task, so that copies can't make a text's own word pairs frequent. A
+record that loses a good part of its weight this way (it keeps HEAVY of it at most) has a second signature in which all word
+pairs weigh the same, so that links which rest on frequent word pairs are found too: the members of a family of near
+duplicates so large that it makes its own word pairs frequent lose most of theirs. For the others the weights change little.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ from tidemark.session import materialize, spread
 #: 5/16, so that 8 segments miss 5 % of such pairs; at 0.6 they miss 0.6 %, at 0.7 0.02 %.
 SEGMENTS, WIDTH = 8, 4
 #: Entries of the frequency table; a word pair is common beyond this share of the records.
-SLOTS, COMMON = 1 << 18, 1 / 1000
+SLOTS, COMMON = 1 << 18, 1 / 300
 #: Records that a word pair may always occur in without weighing less.
 FLOOR = 50.0
-#: Share of frequent word pairs from which a record has the second signature.
-LIGHT = 0.5
+#: Share of its weight up to which a record has the second signature.
+HEAVY = 2 / 3
 SEED = 11
 #: Texts that a task remembers to pass over their copies, at most.
 SEEN = 200_000
@@ -165,8 +166,8 @@ def _signatures(weights, segments: int, width: int):
                 rid, sizes = part["rid"].to_numpy()[sizes > 0], sizes[sizes > 0]
                 keys = variants(symbols(pair, sizes, weights.value, segments * width), segments, width)
                 yield pd.DataFrame({"key": keys.view(np.int64).ravel(), "rid": np.repeat(rid, segments * width)})
-                light = weights.value[(pair & np.uint64(SLOTS - 1)).astype(np.int64)] < 1
-                some = np.add.reduceat(light.astype(np.int64), np.cumsum(sizes) - sizes) >= LIGHT * sizes
+                kept = np.add.reduceat(weights.value[(pair & np.uint64(SLOTS - 1)).astype(np.int64)], np.cumsum(sizes) - sizes)
+                some = kept <= HEAVY * sizes
                 if some.any():
                     more = variants(symbols(pair[np.repeat(some, sizes)], sizes[some], plain, segments * width), segments, width)
                     new = more != keys[some]  # keys are of a place, so only those of the same place can be equal
