@@ -54,6 +54,19 @@ def test_vectors_do_not_depend_on_shuffle_partitions(spark):
     assert len(got & want) >= 0.999 * len(want)
 
 
+def test_vectors_do_not_depend_on_ranges(spark):
+    """Halo rows make many small ranges as good as one."""
+    rng = np.random.default_rng(3)
+    rows = {i: (rng.standard_normal(8) @ np.random.default_rng(1).standard_normal((8, 64)) + 0.3 * rng.standard_normal(64)).astype(np.float32).astype(float) for i in range(5000)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "event_id long, embedding array<double>")
+    want = {(i, j) for i, found in brute_neighbours(rows, 5).items() for j in found}
+    share = []
+    for task_rows in (5000, 1000):
+        got = {(r.event_id, r.neighbor) for r in vectors.similar_vectors(df, "event_id", "embedding", candidates=700, task_rows=task_rows).collect()}
+        share.append(len(got & want) / len(want))
+    assert min(share) >= 0.95 and abs(share[0] - share[1]) < 0.003, share
+
+
 def test_vectors_few_and_none(spark):
     schema = "event_id long, embedding array<double>"
     assert vectors.similar_vectors(spark.createDataFrame([], schema), "event_id", "embedding").count() == 0

@@ -1,13 +1,18 @@
-"""k most similar vectors of every vector: a hash-prefix forest (LSH forest) over range-sorted hash strings.
+"""k most similar vectors of every vector: a hash-prefix forest (LSH forest) over range-partitioned sorted arrays of hash strings.
 
-Every tree hashes each distinct vector, centred on the mean of all, to a string of 64 hyperplane signs. The strings of a tree form a
-sorted array spread over the cluster by range. The longest-prefix matches of a vector are its neighbours in that array, so the
-descent is the vector's own place in the array and the synchronous ascent over all trees is the same growing neighbourhood
-of that place in every tree, until it holds ``reach`` candidates on either side. Candidates are scored where they lie, block
-by block, and only each vector's best few per tree travel on to be merged.
+Every tree hashes each distinct vector, centred on the mean of all, to a string of hyperplane signs. The strings of a tree form
+a sorted array, cut into ranges that one task holds each, with halo rows of the ranges beside it. The vectors that share a
+prefix with a vector's string are an interval around it in the array.
+
+Descent: in every tree, the number of vectors that share a prefix of each length with a vector, from the whole string down to
+the length at which there are enough, is read off the sorted array. Synchronous ascent: these numbers are added up over the trees,
+and the greatest prefix length at which all trees together hold ``candidates`` vectors is the vector's level; it differs from
+vector to vector with the density around it. Scan: the intervals of that prefix length are scored where they lie, and each
+vector's best few of every tree are merged.
 
 Equal vectors are one point of the forest, so that a vector shared by a third of all rows is handled once; its events are
-merged in by their smallest ids afterwards.
+merged in by their smallest ids afterwards. Points with equal strings are spread by a hash of their keys in the string's
+last places, so that many near-equal points can't fill one range.
 """
 
 from __future__ import annotations
@@ -23,10 +28,13 @@ from pyspark.sql.window import Window
 
 from tidemark.session import materialize
 
-#: Trees, hash string length, candidates on either side in a tree, seed of the hyperplanes.
-TREES, BITS, REACH, SEED = 8, 64, 384, 7
-#: Vectors of a sorted array that one task holds, about.
+#: Trees, length of a hash string, candidates of a vector in all trees together, seed of the hyperplanes.
+TREES, BITS, CANDIDATES, SEED = 10, 48, 4096, 7
+#: Points of a sorted array that one task holds, about.
 TASK_ROWS = 100_000
+#: Points by whose hash strings the ranges are set, at most about twice as many (a sample by a hash of the key).
+SAMPLE = 200_000
+_TIE = 64 - BITS
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -35,59 +43,186 @@ def usable(vector: Column, dim: int) -> Column:
     return vector.isNotNull() & (F.size(vector) == dim) & F.coalesce(~bad, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-def _signs(x: np.ndarray, mean: np.ndarray, planes: np.ndarray) -> np.ndarray:
-    """The hash strings as signed integers whose order is the strings' order."""
-    bits = ((x - mean) @ planes > 0).astype(np.uint64)
-    weights = np.left_shift(np.uint64(1), np.arange(BITS - 1, -1, -1, dtype=np.uint64))
-    return ((bits * weights).sum(axis=1, dtype=np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+def _units(raw: pd.Series) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _block_best(rows: np.ndarray, unit: np.ndarray, lo: int, hi: int, left: int, right: int, k: int):
-    """For rows lo..hi, the k best cosines among rows left..right, in double precision after a single-precision preselection."""
-    q, c = unit[lo:hi], unit[left:right]
-    scores = q @ c.T
-    scores[np.arange(hi - lo), np.arange(lo - left, hi - left)] = -2
-    m = min(k + 4, scores.shape[1] - 1)
-    if m <= 0:
-        return np.empty((hi - lo, 0), np.int64), np.empty((hi - lo, 0))
-    top = np.argpartition(-scores, m - 1, axis=1)[:, :m] if m < scores.shape[1] else np.argsort(-scores, axis=1)[:, :m]
-    exact = np.einsum("ij,ikj->ik", rows[lo:hi], rows[left:right][top])
-    order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(top, order, 1) + left, np.take_along_axis(exact, order, 1)
+def _strings(unit: np.ndarray, ids: np.ndarray, mean: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Sortable 64-bit keys: BITS signs, then a hash of the id that spreads equal strings."""
+    bits = ((unit - mean) @ planes > 0).astype(np.uint64)
+    weights = np.left_shift(np.uint64(1), np.arange(63, _TIE - 1, -1, dtype=np.uint64))
+    tie = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TIE)
+    return ((bits * weights).sum(axis=1, dtype=np.uint64) | tie) ^ np.uint64(1 << 63)
 
 
-def _tree_neighbours(reach: int, k: int):
-    """A scan of one sorted partition: blocks of the sorted array, each scored against itself and its surroundings."""
+def _levels(keys: np.ndarray, own: slice, most: int) -> np.ndarray:
+    """For the own rows of a sorted array, the number of rows that share a prefix of each length 0..BITS, at most ``most``."""
+    n = len(keys)
+    out = np.full((own.stop - own.start, BITS + 1), min(most, n), np.uint16)
+    for x in range(BITS, -1, -1):
+        group = np.zeros(n, np.int64)
+        if x:
+            at = keys >> np.uint64(64 - x)
+            np.cumsum(at[1:] != at[:-1], out=group[1:])
+        out[:, x] = np.minimum(np.bincount(group)[group[own]], most)
+        if out[:, x].min(initial=most) >= most:
+            out[:, :x] = most
+            break
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [(p["point"].to_numpy(np.int64), np.frombuffer(b"".join(p["raw"]), np.float32), p["tree"].to_numpy(np.int32)) for p in batches if len(p)]
-        if not parts:
-            return
-        ids, trees = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
-        raw = np.concatenate([p[1] for p in parts]).reshape(len(ids), -1)
-        del parts
-        cuts = [0, *(np.flatnonzero(trees[1:] != trees[:-1]) + 1).tolist(), len(ids)]
-        for a, b in zip(cuts, cuts[1:]):
-            for lo in range(a, b, reach):
-                hi, left, right = min(lo + reach, b), max(a, lo - reach), min(b, lo + 2 * reach)
-                if right - left < 2:
+
+def _interval(keys: np.ndarray, level: np.ndarray, own: slice, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last (exclusive) row of the interval that shares the first ``level`` places with each own row, at most ``reach`` rows away."""
+    at = np.arange(own.start, own.stop)
+    low, high = np.zeros(len(at), np.int64), np.full(len(at), len(keys), np.int64)
+    for x in np.unique(level):
+        mine = np.flatnonzero(level == x)
+        if x:
+            cut = np.uint64(64 - int(x))
+            prefix = keys[at[mine]] >> cut
+            low[mine] = np.searchsorted(keys, prefix << cut, "left")
+            high[mine] = np.searchsorted(keys, (prefix << cut) | ((np.uint64(1) << cut) - np.uint64(1)), "right")
+    return np.maximum(low, at - reach), np.minimum(high, at + reach + 1)
+
+
+def _scan(keys: np.ndarray, ids: np.ndarray, unit: np.ndarray, own: slice, low: np.ndarray, high: np.ndarray, k: int, block: int = 128):
+    """The k greatest cosines of every own row within its interval, block by block; single precision preselects, double decides."""
+    small = unit.astype(np.float32)
+    for a in range(own.start, own.stop, block):
+        b = min(a + block, own.stop)
+        lo, hi = low[a - own.start : b - own.start], high[a - own.start : b - own.start]
+        left, right = int(lo.min()), int(hi.max())
+        column = np.arange(left, right)
+        scores = small[a:b] @ small[left:right].T
+        scores[(column < lo[:, None]) | (column >= hi[:, None]) | (column == np.arange(a, b)[:, None])] = -2
+        m = min(k + 3, right - left)
+        top = np.argpartition(-scores, m - 1, axis=1)[:, :m] if m < right - left else np.tile(np.arange(m), (b - a, 1))
+        real = np.take_along_axis(scores, top, 1) > -1.5
+        exact = np.where(real, np.einsum("ij,ikj->ik", unit[a:b], unit[left + top]), -2)
+        order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+        which, cosine = np.take_along_axis(top, order, 1) + left, np.take_along_axis(exact, order, 1)
+        keep = cosine > -1.5
+        yield pd.DataFrame({"point": np.repeat(ids[a:b], keep.sum(1)), "other": ids[which[keep]], "cosine": cosine[keep]})
+
+
+class _Forest:
+    """The trees over ``points`` (point, raw, ...): rows sent to their ranges, with halo copies beside the ranges' edges."""
+
+    def __init__(self, points: DataFrame, n: int, mean: np.ndarray, trees: int, candidates: int, task_rows: int):
+        self.mean, self.planes = mean, np.random.default_rng(SEED).standard_normal((trees, len(mean), BITS))
+        self.trees, self.ranges = trees, max(1, -(-n // task_rows))
+        edges = np.zeros((3, trees, 0), np.uint64)  # the ranges' first keys, and where the halo before and behind each ends
+        if self.ranges > 1:
+            share = max(1, n // SAMPLE)
+            halo = max(candidates, 4 * share) / n
+            inner = np.arange(1, self.ranges) / self.ranges
+            wanted = np.clip(np.concatenate([inner, inner - halo, inner + halo]), 0, 1).tolist()
+            hashed = self.rows(points.where(F.pmod(F.xxhash64("point"), F.lit(share)) == 0).select("point", "raw"), [], sample=True)
+            got = hashed.groupBy("tree").agg(F.percentile_approx("key", wanted, 100_000).alias("q")).collect()  # a row for each tree
+            edges = np.zeros((3, trees, self.ranges - 1), np.uint64)
+            for r in got:
+                edges[:, r["tree"]] = np.array(r["q"], np.int64).view(np.uint64).reshape(3, -1) ^ np.uint64(1 << 63)
+        self.edges = points.sparkSession.sparkContext.broadcast(edges)  # 24 bytes for each range of TASK_ROWS points
+
+    def rows(self, points: DataFrame, more: list[str], sample: bool = False) -> DataFrame:
+        """``tree, part, key, own, point`` and the columns ``more`` of every point in every tree."""
+        mean, planes, ranges = self.mean, self.planes, self.ranges
+        edges = None if sample else self.edges
+        schema = "tree int, part int, key bigint, own boolean, point bigint" + "".join(f", {c} {points.schema[c].dataType.simpleString()}" for c in more)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf):
                     continue
-                near = raw[left:right].astype(np.float64)
-                near /= np.linalg.norm(near, axis=1, keepdims=True)
-                which, cosine = _block_best(near, near.astype(np.float32), lo - left, hi - left, 0, right - left, k)
-                n = which.shape[1]
-                yield pd.DataFrame({"point": np.repeat(ids[lo:hi], n), "other": ids[left:right][which.ravel()], "cosine": cosine.ravel()})
+                unit, ids = _units(pdf["raw"]), pdf["point"].to_numpy(np.int64)
+                for t in range(len(planes)):
+                    key = _strings(unit, ids, mean, planes[t])
+                    sent = [(np.arange(len(ids)), np.zeros(len(ids), np.int64), True)]
+                    if edges is not None and ranges > 1:
+                        first, before, behind = (edges.value[i][t] for i in range(3))
+                        mine = np.searchsorted(first, key ^ np.uint64(1 << 63), "right")
+                        sent = [(sent[0][0], mine, True)]
+                        k = key ^ np.uint64(1 << 63)
+                        up = np.flatnonzero((mine < ranges - 1) & (k >= before[np.minimum(mine, ranges - 2)]))
+                        down = np.flatnonzero((mine > 0) & (k <= behind[np.maximum(mine - 1, 0)]))
+                        sent += [(up, mine[up] + 1, False), (down, mine[down] - 1, False)]
+                    for at, where, own in sent:
+                        if len(at):
+                            yield pd.DataFrame({"tree": np.int32(t), "part": (t * ranges + where).astype(np.int32), "key": key[at].view(np.int64), "own": own, "point": ids[at], **{c: pdf[c].to_numpy()[at] for c in more}})
+
+        return points.mapInPandas(run, schema)
+
+    def arrays(self, points: DataFrame, more: list[str]) -> DataFrame:
+        """The rows of every range in one task."""
+        return self.rows(points, more).drop("tree").repartitionById(self.trees * self.ranges, F.col("part"))
+
+
+def _sorted(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+    """The rows of a task's range in order of their strings, with unsigned keys."""
+    parts = [p for p in batches if len(p)]
+    if not parts:
+        return None
+    pdf = pd.concat(parts, ignore_index=True)
+    pdf["key"] = pdf["key"].to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return pdf.sort_values(["part", "key", "point"], ignore_index=True)
+
+
+def _own(pdf: pd.DataFrame) -> slice:
+    at = np.flatnonzero(pdf["own"].to_numpy(bool))
+    return slice(int(at[0]), int(at[-1]) + 1) if len(at) else slice(0, 0)
+
+
+def _descend(candidates: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = _sorted(batches)
+        for _, part in pdf.groupby("part") if pdf is not None else ():
+            own = _own(part)
+            counts = _levels(part["key"].to_numpy(np.uint64), own, candidates)
+            yield pd.DataFrame({"point": part["point"].to_numpy()[own], "counts": [c.tobytes() for c in counts]})
 
     return run
 
 
-def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, trees: int = TREES, reach: int = REACH) -> DataFrame:
+def _ascend(trees: int, candidates: int):
+    """Sums the counts of a point's trees, which come one after the other, and gives its level."""
+
+    def levels(ids: np.ndarray, counts: list[bytes]) -> pd.DataFrame:
+        c = np.frombuffer(b"".join(counts), np.uint16).reshape(-1, trees, BITS + 1).sum(1, dtype=np.int64) - trees
+        enough = c[:, ::-1] >= candidates
+        return pd.DataFrame({"point": ids[::trees], "level": np.where(enough.any(1), BITS - enough.argmax(1), 0).astype(np.int32)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, counts = np.empty(0, np.int64), []
+        for pdf in batches:
+            ids, counts = np.append(ids, pdf["point"].to_numpy(np.int64)), counts + pdf["counts"].tolist()
+            whole = len(ids) // trees * trees
+            if whole:
+                yield levels(ids[:whole], counts[:whole])
+            ids, counts = ids[whole:], counts[whole:]
+
+    return run
+
+
+def _search(k: int, reach: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = _sorted(batches)
+        for _, part in pdf.groupby("part") if pdf is not None else ():
+            own, keys = _own(part), part["key"].to_numpy(np.uint64)
+            low, high = _interval(keys, part["level"].to_numpy(np.int64)[own], own, reach)
+            yield from _scan(keys, part["point"].to_numpy(np.int64), _units(part["raw"]), own, low, high, k)
+
+    return run
+
+
+def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, trees: int = TREES, candidates: int = CANDIDATES, task_rows: int = TASK_ROWS) -> DataFrame:
     """``key, neighbor, cosine``: for every usable vector the k others with the greatest cosine; of equal cosines the smaller key.
 
     ``key`` is a bigint; repeated rows of a key count once. Null, wrongly sized, non-finite and all-zero vectors are left out.
     Fewer than k others give fewer rows; an empty input gives none. Other columns are ignored. The mean of all vectors is
-    taken over all rows. Neighbours are approximate (see the measured recall in the README), cosines are exact for the
-    values rounded to single precision.
+    taken over all rows; only the ranges of the arrays are set by a sample. Neighbours are approximate (see the measured
+    recall in the README), cosines are exact for the values rounded to single precision. The result does not depend on the
+    session's partitions.
     """
     spark = df.sparkSession
     v = F.col(vector)
@@ -99,46 +234,38 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 5, dim: int =
                 x = np.stack(pdf["v"].to_numpy()).astype(np.float32)
                 yield pd.DataFrame({"id": pdf["id"], "raw": [r.tobytes() for r in x]})
 
-    packed = rows.mapInPandas(pack, "id bigint, raw binary").dropDuplicates(["id"])
-    # A third of all rows may carry one vector: its k + 1 smallest ids are pre-aggregated in every map task.
-    firsts = F.slice(F.array_sort(F.collect_set("id")), 1, k + 1)
-    salted = packed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).groupBy("raw", "salt").agg(F.min("id").alias("point"), firsts.alias("firsts"), F.count(F.lit(1)).alias("n"))
-    points = materialize(
-        salted.groupBy("raw").agg(F.min("point").alias("point"), F.slice(F.array_sort(F.flatten(F.collect_list("firsts"))), 1, k + 1).alias("firsts"), F.sum("n").alias("n"))
-    )
+    packed = materialize(rows.mapInPandas(pack, "id bigint, raw binary").dropDuplicates(["id"]))
+    # A third of all rows may carry one vector: every map task keeps its k + 1 smallest ids, before the exchange.
+    smallest = Window.partitionBy("raw").orderBy("id")
+    firsts = packed.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1)
+    points = materialize(firsts.groupBy("raw").agg(F.min("id").alias("point"), F.array_sort(F.collect_list("id")).alias("firsts")))
     moments = points.mapInPandas(_sums(dim), "at int, total double, n bigint").groupBy("at").agg(F.sum("total").alias("s"), F.sum("n").alias("n")).collect()
     if not moments:
         return spark.createDataFrame([], T.StructType([T.StructField(key, T.LongType()), T.StructField("neighbor", T.LongType()), T.StructField("cosine", T.DoubleType())]))
-    mean = np.zeros(dim)
+    mean, n = np.zeros(dim), moments[0]["n"]
     for r in moments:  # one row per dimension
         mean[r["at"]] = r["s"] / r["n"]
-    planes = np.random.default_rng(SEED).standard_normal((trees, dim, BITS))
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.frombuffer(b"".join(pdf["raw"]), np.float32).reshape(len(pdf), -1).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                for t in range(trees):
-                    yield pd.DataFrame({"tree": np.int32(t), "hash": _signs(x, mean, planes[t]), "point": pdf["point"], "raw": pdf["raw"]})
-
-    forest = points.select("point", "raw").mapInPandas(hashed, "tree int, hash bigint, point bigint, raw binary")
-    # By rows only: a neighbourhood ends at the edge of its partition, so a partition has many times ``reach`` rows.
-    n = -(-trees * points.count() // max(TASK_ROWS, 50 * reach))
-    sorted_arrays = forest.repartitionByRange(n, "tree", "hash", "point").sortWithinPartitions("tree", "hash", "point")
-    found = sorted_arrays.mapInPandas(_tree_neighbours(reach, k), "point bigint, other bigint, cosine double")
-    best = found.groupBy("point", "other").agg(F.max("cosine").alias("cosine"))
+    forest = _Forest(points, n, mean, trees, candidates, task_rows)
+    counts = forest.arrays(points.select("point", "raw"), []).mapInPandas(_descend(candidates), "point bigint, counts binary")
+    levels = counts.repartition("point").sortWithinPartitions("point").mapInPandas(_ascend(trees, candidates), "point bigint, level int")
+    levelled = points.select("point", "raw").join(levels, "point")
+    found = forest.arrays(levelled, ["raw", "level"]).mapInPandas(_search(k, candidates), "point bigint, other bigint, cosine double")
+    # One exchange by point serves the merging and the ranking.
+    best = found.repartition("point").dropDuplicates(["point", "other"])
     ranked = best.withColumn("r", F.row_number().over(Window.partitionBy("point").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= k).drop("r")
     # Neighbouring points bring their smallest ids; the point itself brings its own equals with cosine 1.
     others = points.select(F.col("point").alias("other"), F.col("firsts").alias("ids"))
-    candidates = ranked.join(others, "other").select("point", "cosine", F.explode("ids").alias("neighbor"))
-    own = points.where("n > 1").select("point", F.lit(1.0).alias("cosine"), F.explode("firsts").alias("neighbor"))
+    candidates_ = ranked.join(others, "other").select("point", "cosine", F.explode("ids").alias("neighbor"))
+    own = points.where(F.size("firsts") > 1).select("point", F.lit(1.0).alias("cosine"), F.explode("firsts").alias("neighbor"))
     # The k + 1 best ids of each point suffice for all its events, for an event drops at most itself.
     w = Window.partitionBy("point").orderBy(F.desc("cosine"), "neighbor")
-    short = candidates.unionByName(own).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
+    short = candidates_.unionByName(own).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
     lists = short.groupBy("point").agg(F.array_sort(F.collect_list(F.struct("r", "neighbor", "cosine"))).alias("best"))
-    by_raw = points.join(lists, "point").select("raw", "best")
-    mine = packed.join(by_raw, "raw").select("id", F.filter("best", lambda x: x["neighbor"] != F.col("id")).alias("best"))
+    # Events meet their point by 128 bits of hash instead of the vector; a point with very many events is split by AQE's skew join.
+    hashes = [F.xxhash64("raw").alias("h1"), F.xxhash64("raw", F.lit(1)).alias("h2")]
+    by_hash = points.select("point", *hashes).join(lists, "point").select("h1", "h2", "best")
+    mine = packed.select("id", *hashes).join(by_hash, ["h1", "h2"]).select("id", F.filter("best", lambda x: x["neighbor"] != F.col("id")).alias("best"))
     top = mine.select("id", F.explode(F.slice("best", 1, k)).alias("b"))
     return top.select(F.col("id").alias(key), F.col("b.neighbor").alias("neighbor"), F.col("b.cosine").alias("cosine"))
 
@@ -148,8 +275,7 @@ def _sums(dim: int):
         total, n = np.zeros(dim), 0
         for pdf in batches:
             if len(pdf):
-                x = np.frombuffer(b"".join(pdf["raw"]), np.float32).reshape(len(pdf), -1).astype(np.float64)
-                total += (x / np.linalg.norm(x, axis=1, keepdims=True)).sum(axis=0)
+                total += _units(pdf["raw"]).sum(axis=0)
                 n += len(pdf)
         if n:
             yield pd.DataFrame({"at": np.arange(dim, dtype=np.int32), "total": total, "n": n})
