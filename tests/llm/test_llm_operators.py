@@ -238,6 +238,36 @@ def test_ambiguous_labels_are_settled_by_the_turn():
     assert turns.choose_readings(readings, np.zeros(5), np.zeros(5, bool)) == ["a", "a", None, "b", "b"]
 
 
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_ambiguous_labels_are_settled_across_partitions(spark, parts):
+    """Two people share a first name; whom a bare first name means is settled by the whole sequence, wherever it is cut."""
+    people = [("spk:ada-brimley", "Ada Brimley", "Ada"), ("spk:ada-calder", "Ada Calder", "AC"), ("spk:eva", "Eva Crane", "EC")]
+    rng = random.Random(4)
+    rows, who = [], None
+    for i in range(240):
+        who = rng.choice(["Ada Brimley", "Ada Calder", "Eva Crane"]) if who is None or rng.random() < 0.15 else who
+        label = who if rng.random() < 0.3 else rng.choice([None, who.split()[0]])
+        rows.append((i, "v", float(i), i + 0.9, rng.choice(["and then it went on", "It went on.", "so we left."]), label, "speech"))
+    seg = spark.createDataFrame(rows, "seg_id long, video_id string, start_s double, end_s double, text string, speaker string, kind string")
+    names = spark.createDataFrame(people, "speaker_id string, resolved_name string, label string")
+    known = turns.People(people)
+    readings = [[{"s": s, "x": 5.0 if len(known.read(r[5])) == 1 else x} for s, x in known.read(r[5])] for r in rows]
+    assert sum(len(r) > 1 for r in readings) > 30
+    got = {r.seg_id: r.speaker_id for r in turns.turn_cases(seg, names, partitions=parts).collect()}
+    assert all(got[i] in [x["s"] for x in r] for i, r in enumerate(readings) if r)
+    if parts > 1:
+        whole = {r.seg_id: r.speaker_id for r in turns.turn_cases(seg, names, partitions=1).collect()}
+        assert sum(got[i] == whole[i] for i in got) >= 0.99 * len(got)
+
+
+def test_changes_are_fitted():
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.random(4000) * 2, rng.random(4000) < 0.5, np.log1p(rng.integers(0, 9, 4000))]).astype(float)
+    y = (rng.random(4000) < 1 / (1 + np.exp(2 - 1.5 * x[:, 0] - x[:, 1] + 0.3 * x[:, 2]))).astype(float)
+    assert np.abs(turns.fit_changes(x, y) - np.array([-2, 1.5, 1, -0.3])).max() < 0.35
+    assert np.allclose(turns.fit_changes(np.zeros((0, 3)), np.zeros(0)), turns.PRIOR)
+
+
 def test_turn_texts(spark):
     seg = spark.createDataFrame([(1, "v", 0.0, 1.0, "Ada: hello", None, "speech"), (2, "v", 1.0, 2.0, "[music]", None, "event"), (3, "v", 2.0, 3.0, "again", None, None), (4, "v", 3.0, 4.0, "bye", "Paul", "speech")], "seg_id long, video_id string, start_s double, end_s double, text string, speaker string, kind string")
     people = spark.createDataFrame(PEOPLE, "speaker_id string, resolved_name string, label string")

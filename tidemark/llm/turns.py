@@ -3,15 +3,17 @@
 Every cue is stripped of labels, times, mark-up, sounds, sung lines and hesitations; what still has a spoken word is a case.
 Labels are matched to the known people by exact, partial, initial and one-slip forms; each gives a score.
 
-Turns are whole segments of a semi-Markov model over the cases of one video. A turn's score is the sum of its label
-scores, a penalty where a label of somebody else lies inside it, and at its opening the evidence for a change: a label there (an
-unlabelled opening costs more than all other evidence can outweigh, so that a case that names nobody continues the turn
-before it), the pause before it, and a break of lexical continuity (the case before ends a sentence, this one begins one).
-Where every label has one reading the best segmentation is the run of equal readings, found by vector operations; where labels
-have several readings, dynamic programming over the labelled cases chooses among them.
-
-The cases are range-sorted over the cluster by video and time; bounded summaries of the partitions carry the open turn from one
-partition to the next, so that a video with a third of all rows is never gathered in one task.
+Turns are whole segments of a semi-Markov conditional model over the cases of one video. A segment opens at a case with a label (a
+case that names nobody continues the turn before it) and holds labels with one reading in common. Its score is the sum of its
+labels' scores, the log probability of a change at its opening, and the log probability of no change at every label inside it. The
+probability of a change depends on the pause, on the break of lexical continuity (the case before ends a sentence, this one
+begins one) and on the length of the turn so far in cases, so that lengths are no geometric ones. Its weights are fitted to
+labelled cases (PAIRS at most). Forward scores with back pointers give the best segmentation.
+
+The cues are range-sorted over the cluster by video and time, and cleaned where they lie. Readings are settled between two cases
+of one reading each, so that a partition needs, beyond its own cases, those from the last such case before it and up to the
+first one behind it (HISTORY cases at most); bounded summaries carry these, and the open turn, from one partition to the next.
+A video with a third of all rows is never gathered in one task.
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from math import exp, log1p
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.intervals import range_sorted
-from tidemark.session import spread
+from tidemark.operators.intervals import ROWS
+from tidemark.session import materialize, shuffle_partitions
 
 TIME = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
 HEAD_TIME = re.compile(rf"\s*(?:[\[(<]\s*{TIME}\s*[\])>]|{TIME}(?=\s|\Z))(?:\s+[-–—]+(?=\s|\Z))?")
@@ -38,6 +41,7 @@ COLON = re.compile(r"\s*([^\W\d_][^:\[\]<>♪*()]{0,48}?)\s*:(?=\s|\Z)")
 TAG = re.compile(r"<[^<>]*>")
 SUNG = re.compile(r"♪[^♪]*♪|[♪♫]+[^♪♫]*\Z")
 SOUND = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|\*[^*]*\*|\{[^{}]*\}")
+MARKS = re.compile(r"♪|♫|>>+")
 ANY_TIME = re.compile(rf"(?<![\d:]){TIME}(?![\d:])")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 #: Hesitation sounds by form: uh, um, uhm, er, erm, eh, ehm, hm, mm, ah, äh, euh and longer ones.
@@ -161,11 +165,16 @@ def clean_cue(text: str, people: People) -> tuple[list[tuple[str, float]], str]:
             s = s.lstrip()[m.end() :]
             continue
         break
-    s = TAG.sub("", s)
-    s = SUNG.sub(" ", s)
-    s = SOUND.sub(" ", s)
-    s = ANY_TIME.sub(" ", s)
-    s = re.sub(r"♪|♫|>>+", " ", s)
+    if not s.replace(" ", "").isalpha():  # a pattern is tried only where its signs occur
+        if "<" in s:
+            s = TAG.sub("", s)
+        if "♪" in s or "♫" in s:
+            s = SUNG.sub(" ", s)
+        if "[" in s or "(" in s or "*" in s or "{" in s:
+            s = SOUND.sub(" ", s)
+        if ":" in s:
+            s = ANY_TIME.sub(" ", s)
+        s = MARKS.sub(" ", s)
     if not any(not HESITATION.match(w) for w in WORD.findall(s)):
         return readings, ""
     german = GERMAN.search(s) is not None
@@ -173,111 +182,222 @@ def clean_cue(text: str, people: People) -> tuple[list[tuple[str, float]], str]:
     return readings, re.sub(r"\s+", " ", s).strip(" -–—")
 
 
-CASES = "video_id string, start_s double, seg_id bigint, end_s double, named string, readings array<struct<s:string,x:double>>, lower boolean, stops boolean, speech string"
+CASES = "pid int, video_id string, start_s double, seg_id bigint, end_s double, named string, readings array<struct<s:string,x:double>>, lower boolean, stops boolean, speech string"
 
 
-def speech_cases(segments: DataFrame, people: list[tuple], with_text: bool) -> DataFrame:
-    """The cases of a table of cues: one row per cue with a video, a finite start and at least one spoken word, whatever its kind.
+def speech_cases(segments: DataFrame, people: list[tuple], with_text: bool, partitions: int) -> DataFrame:
+    """The cases of a table of cues, range-sorted by video, start and seg_id, checkpointed with their partition number ``pid``.
 
-    ``named`` is the one reading of its label; ``readings`` has them where there are several.
+    One row per cue with a video, a finite start and at least one spoken word, whatever its kind. ``named`` is the one reading of
+    its label; ``readings`` has them where there are several. The raw cues are sorted, so that each is cleaned once.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = People(people)
+        known, before = People(people), None
         for pdf in batches:
             out = []
-            for seg, video, start, end, text, label in zip(pdf["seg_id"], pdf["video_id"], pdf["start_s"], pdf["end_s"], pdf["text"], pdf["speaker"]):
+            for pid, seg, video, start, end, text, label in zip(pdf["pid"], pdf["seg_id"], pdf["video_id"], pdf["start_s"], pdf["end_s"], pdf["text"], pdf["speaker"]):
+                if before == (seg, video):  # a repeated row
+                    continue
+                before = (seg, video)
                 head, speech = clean_cue(text, known)
                 if not speech:
                     continue
                 readings = known.read(label) or head
                 several = [{"s": s, "x": x} for s, x in readings] if len(readings) > 1 else None
-                out.append((video, start, seg, end, readings[0][0] if len(readings) == 1 else None, several, speech[:1].islower(), speech[-1:] in ".!?…", speech if with_text else None))
-            yield pd.DataFrame(out, columns=["video_id", "start_s", "seg_id", "end_s", "named", "readings", "lower", "stops", "speech"])
+                out.append((pid, video, start, seg, end, readings[0][0] if len(readings) == 1 else None, several, speech[:1].islower(), speech[-1:] in ".!?…", speech if with_text else None))
+            yield pd.DataFrame(out, columns=["pid", "video_id", "start_s", "seg_id", "end_s", "named", "readings", "lower", "stops", "speech"])
 
     start = F.col("start_s").cast("double")
     use = F.col("seg_id").isNotNull() & F.col("video_id").isNotNull() & F.col("text").isNotNull() & start.isNotNull() & ~F.isnan(start) & (F.abs(start) < float("inf"))
-    cols = ["seg_id", "video_id", start.alias("start_s"), F.col("end_s").cast("double").alias("end_s"), "text", "speaker"]
-    return spread(segments.where(use).select(*cols)).mapInPandas(run, CASES)
+    rows = segments.where(use).select("seg_id", "video_id", start.alias("start_s"), F.col("end_s").cast("double").alias("end_s"), "text", "speaker")
+    keys = ["video_id", "start_s", "seg_id"]
+    ranged = rows.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).withColumn("pid", F.spark_partition_id())
+    return materialize(ranged.mapInPandas(run, CASES))
+
+
+#: Pairs of a labelled case and the one before it that the model is fitted on, at most; cases that a partition looks at beyond
+#: its own on either side, at most.
+PAIRS, HISTORY = 20_000, 64
+#: Weights of a change before anything is fitted: constant, pause (per second, up to 2), break of continuity, log length.
+PRIOR = (-1.0, 0.8, 0.5, 0.2)
 
 
-#: Scores of the model beside the labels' own: a label of somebody else inside a turn, an unlabelled opening, a pause
-#: (per second, up to 2 s), and a break of lexical continuity.
-INSIDE, UNLABELLED, PAUSE, LEXICAL = -20.0, -10.0, 0.4, 0.5
+def _evidence(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The pause before every case (0 to 2 s) and whether lexical continuity breaks there."""
+    start, end = pdf["start_s"].to_numpy(np.float64), pdf["end_s"].to_numpy(np.float64)
+    gap = np.append(0.0, start[1:] - end[:-1])
+    pauses = np.clip(np.nan_to_num(gap, nan=0.0, posinf=0.0, neginf=0.0), 0, 2)
+    return pauses, np.append(True, pdf["stops"].to_numpy(bool)[:-1]) & ~pdf["lower"].to_numpy(bool)
 
 
-def choose_readings(readings: list[list], pauses: np.ndarray, breaks: np.ndarray) -> list[str | None]:
+def _pairs(most: int):
+    """Of every partition, up to ``most`` pairs of neighbouring labelled cases of a video: features, and whether the speaker changes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = most
+        for pdf in batches:
+            if left <= 0 or not len(pdf):
+                continue
+            pauses, breaks = _evidence(pdf)
+            labelled = np.flatnonzero(pdf["named"].notna().to_numpy())
+            if len(labelled) < 2:
+                continue
+            video, named = pdf["video_id"].to_numpy(object)[labelled], pdf["named"].to_numpy(object)[labelled]
+            same = video[1:] == video[:-1]
+            change = named[1:] != named[:-1]
+            run_start = np.maximum.accumulate(np.where(np.append(True, change | ~same), labelled, 0))
+            length = labelled[1:] - run_start[:-1]
+            at = np.flatnonzero(same)[:left]
+            left -= len(at)
+            yield pd.DataFrame({"pause": pauses[labelled[1:]][at], "broken": breaks[labelled[1:]][at].astype(float), "length": np.log1p(length[at].astype(float)), "change": change[at].astype(float)})
+
+    return run
+
+
+def fit_changes(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
+    """Logistic weights of a change by Newton steps, drawn towards PRIOR, which they equal without rows."""
+    prior = np.array(PRIOR)
+    w, x = prior.copy(), np.column_stack([np.ones(len(x)), x]) if len(x) else np.zeros((0, len(prior)))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * (w - prior))
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def choose_readings(readings: list[list], pauses: np.ndarray, breaks: np.ndarray, weights: np.ndarray | tuple = PRIOR) -> list[str | None]:
     """The speaker that every case names under the best segmentation into turns, None where it names nobody.
 
-    A turn opens only at a label and holds labels with one reading in common; dynamic programming over the labelled cases,
-    whose states are a label's readings, adds the evidence for a change where the speaker changes.
+    Forward scores over the labelled cases: a state is a reading of the label with the number of cases that its turn has so far on
+    the best path to it; it goes on with the turn or opens one. Back pointers give the segmentation of the best last state.
     """
     out: list[str | None] = [None] * len(readings)
-    at = [i for i, r in enumerate(readings) if len(r)]
-    if all(len(readings[i]) == 1 for i in at):
-        for i in at:
-            out[i] = readings[i][0]["s"]
-        return out
-    score: dict[str, float] = {}
+    w0, w_pause, w_break, w_length = weights
+    state: dict[str, tuple[float, int]] = {}
     back: list[dict[str, str | None]] = []
+    at = [i for i, r in enumerate(readings) if r is not None and len(r)]
+    stays: dict[int, float] = {}
     for i in at:
-        change = PAUSE * min(2.0, max(0.0, pauses[i])) + LEXICAL * breaks[i]
+        base = w0 + w_pause * pauses[i] + w_break * breaks[i]
         now, links = {}, {}
         for r in readings[i]:
-            stay = score.get(r["s"])
-            best, source = max(((v + change, k) for k, v in score.items() if k != r["s"]), default=(0.0, None))
-            if stay is not None and stay + 1.0 > best:  # of equal ones the later change, so that a turn goes on as long as it may
-                best, source = stay + 1.0, r["s"]
-            now[r["s"]], links[r["s"]] = best + r["x"], source
-        score = now
+            who, best, opened, source = r["s"], None, i, None
+            for k, (score, since) in state.items():
+                z = max(-30.0, min(30.0, base + w_length * log1p(i - since)))
+                # log p(change) for another speaker, log p(no change) for the same
+                v = score - (log1p(exp(-z)) if k != who else log1p(exp(z)))
+                if best is None or v > best:
+                    best, opened, source = v, since if k == who else i, k
+            now[who], links[who] = ((best or 0.0) + r["x"], opened), source
+        state = now
         back.append(links)
-    state = max(sorted(score), key=lambda k: score[k]) if score else None
+    last = max(sorted(state), key=lambda k: state[k][0]) if state else None
     for i, links in zip(reversed(at), reversed(back)):
-        out[i] = state
-        state = links[state]
+        out[i] = last
+        last = links[last]
     return out
 
 
-def _named(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
-    """A sorted partition with repeated rows dropped and the named speaker of every case."""
+def _whole(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
     parts = [p for p in batches if len(p)]
-    if not parts:
-        return None
-    pdf = pd.concat(parts, ignore_index=True)
-    same = (pdf["seg_id"].to_numpy()[1:] == pdf["seg_id"].to_numpy()[:-1]) & (pdf["video_id"].to_numpy()[1:] == pdf["video_id"].to_numpy()[:-1])
-    pdf = pdf[np.append(True, ~same)].reset_index(drop=True)
-    pdf["speaker_id"] = pdf["named"]
-    if not pdf["readings"].notna().any():  # every label has one reading: the best segmentation is the runs of equal ones
-        return pdf
-    readings = [[{"s": n, "x": 5.0}] if isinstance(n, str) else list(r) if r is not None else [] for n, r in zip(pdf["named"], pdf["readings"])]
-    speaker, video = np.empty(len(pdf), object), pdf["video_id"].to_numpy(object)
-    pauses = np.append(0, pdf["start_s"].to_numpy()[1:] - np.nan_to_num(pdf["end_s"].to_numpy()[:-1], nan=np.inf))
-    breaks = np.append(True, pdf["stops"].to_numpy(bool)[:-1]) & ~pdf["lower"].to_numpy(bool)
-    cuts = [0, *(np.flatnonzero(video[1:] != video[:-1]) + 1).tolist(), len(pdf)]
-    for a, b in zip(cuts, cuts[1:]):
-        speaker[a:b] = choose_readings(readings[a:b], pauses[a:b], breaks[a:b])
-    pdf["speaker_id"] = speaker
-    return pdf
-
-
-def _summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per partition: what it does to the open turn of its last video."""
-    pdf = _named(batches)
+    return pd.concat(parts, ignore_index=True) if parts else None
+
+
+def _readings(pdf: pd.DataFrame) -> list[list]:
+    """Every case's readings; a label with one reading has the full score."""
+    return [[{"s": n, "x": 5.0}] if isinstance(n, str) else [{"s": x["s"], "x": x["x"]} for x in r] if r is not None else [] for n, r in zip(pdf["named"], pdf["readings"])]
+
+
+def _rim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The labelled cases of a partition's first video up to the first of one reading, and of its last video from the last such one on."""
+    pdf = _whole(batches)
     if pdf is None:
         return
-    tail = pdf[pdf["video_id"] == pdf["video_id"].iloc[-1]]
-    named = tail.dropna(subset=["speaker_id"])
-    first, last, opened, one_run = None, None, None, True
-    if len(named):
-        speakers = named["speaker_id"].to_numpy(object)
-        first, last = speakers[0], speakers[-1]
-        changes = np.flatnonzero(speakers[1:] != speakers[:-1])
-        one_run = not len(changes)
-        opened = int(named["seg_id"].iloc[0 if one_run else changes[-1] + 1])
-    yield pd.DataFrame(
-        [(int(pdf["pid"].iloc[0]), pdf["video_id"].iloc[0], tail["video_id"].iloc[0], int(tail["seg_id"].iloc[0]), first, last, opened, one_run)],
-        columns=["pid", "first_video", "video", "first_seg", "first", "last", "opened", "one_run"],
-    )
+    pauses, breaks = _evidence(pdf)
+    video, labelled = pdf["video_id"].to_numpy(object), (pdf["named"].notna() | pdf["readings"].notna()).to_numpy()
+    sure = pdf["named"].notna().to_numpy()
+    for side, name in (("head", video[0]), ("tail", video[-1])):
+        at = np.flatnonzero(labelled & (video == name))
+        order = at if side == "head" else at[::-1]
+        until = np.flatnonzero(sure[order])
+        kept = np.sort(order[: min(HISTORY, int(until[0]) + 1 if len(until) else len(order))])
+        rows = _readings(pdf.iloc[kept])
+        yield pd.DataFrame([(int(pdf["pid"].iloc[0]), side, name, bool(len(until)), [[{"s": x["s"], "x": x["x"]} for x in r] for r in rows], pauses[kept].tolist(), breaks[kept].tolist())], columns=["pid", "side", "video", "closed", "readings", "pauses", "breaks"])
+
+
+RIM = "pid int, side string, video string, closed boolean, readings array<array<struct<s:string,x:double>>>, pauses array<double>, breaks array<boolean>"
+
+
+def surroundings(rims: list) -> dict[int, tuple[list, list]]:
+    """pid -> the labelled cases before and behind its own that settle its readings, as (readings, pause, break) triples."""
+    by = {}
+    for r in rims:
+        triples = list(zip([[x.asDict() if hasattr(x, "asDict") else dict(x) for x in one] for one in r["readings"]], r["pauses"], r["breaks"]))
+        by.setdefault(r["pid"], {})[r["side"]] = (r["video"], r["closed"], triples)
+    pids = sorted(by)
+    before, behind = {}, {}
+    carried: tuple = (None, [])
+    for p in pids:
+        video, _, _ = by[p]["head"]
+        before[p] = carried[1] if carried[0] == video else []
+        last, closed, rows = by[p]["tail"]
+        carried = (last, rows if closed or carried[0] != last else (carried[1] + rows)[-HISTORY:])
+    carried = (None, [])
+    for p in reversed(pids):
+        video, _, _ = by[p]["tail"]
+        behind[p] = carried[1] if carried[0] == video else []
+        first, closed, rows = by[p]["head"]
+        carried = (first, rows if closed or carried[0] != first else (rows + carried[1])[:HISTORY])
+    return {p: (before[p], behind[p]) for p in pids}
+
+
+def _decoder(around: dict[int, tuple[list, list]], weights: np.ndarray):
+    """Adds the named speaker of every case to a sorted partition."""
+
+    def named(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+        pdf = _whole(batches)
+        if pdf is None:
+            return None
+        before, behind = around[int(pdf["pid"].iloc[0])]
+        readings, (pauses, breaks) = _readings(pdf), _evidence(pdf)
+        speaker, video = np.empty(len(pdf), object), pdf["video_id"].to_numpy(object)
+        cuts = [0, *(np.flatnonzero(video[1:] != video[:-1]) + 1).tolist(), len(pdf)]
+        for a, b in zip(cuts, cuts[1:]):
+            first, last = before if a == 0 else [], behind if b == len(pdf) else []
+            r = [x[0] for x in first] + readings[a:b] + [x[0] for x in last]
+            more = lambda own, i: [x[i] for x in first] + own[a:b].tolist() + [x[i] for x in last]  # noqa: E731, B023
+            speaker[a:b] = choose_readings(r, more(pauses, 1), more(breaks, 2), weights)[len(first) : len(first) + b - a]
+        pdf["speaker_id"] = speaker
+        return pdf
+
+    return named
+
+
+def _summary(named):
+    """One row per partition: what it does to the open turn of its last video."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = named(batches)
+        if pdf is None:
+            return
+        tail = pdf[pdf["video_id"] == pdf["video_id"].iloc[-1]]
+        spoken = tail.dropna(subset=["speaker_id"])
+        first, last, opened, one_run = None, None, None, True
+        if len(spoken):
+            speakers = spoken["speaker_id"].to_numpy(object)
+            first, last = speakers[0], speakers[-1]
+            changes = np.flatnonzero(speakers[1:] != speakers[:-1])
+            one_run = not len(changes)
+            opened = int(spoken["seg_id"].iloc[0 if one_run else changes[-1] + 1])
+        yield pd.DataFrame(
+            [(int(pdf["pid"].iloc[0]), pdf["video_id"].iloc[0], tail["video_id"].iloc[0], int(tail["seg_id"].iloc[0]), first, last, opened, one_run)],
+            columns=["pid", "first_video", "video", "first_seg", "first", "last", "opened", "one_run"],
+        )
+
+    return run
 
 
 def carry_turns(summaries: list[tuple]) -> dict[int, tuple | None]:
@@ -304,12 +424,16 @@ def turn_cases(segments: DataFrame, speakers: DataFrame, with_text: bool = False
     people = [tuple(r) for r in speakers.select("speaker_id", "resolved_name", "label").limit(10_001).collect()]
     if len(people) > 10_000:
         raise ValueError("more than 10,000 speakers: match labels by a join instead")
-    ranged = range_sorted(speech_cases(segments, people, with_text), ["video_id", "start_s", "seg_id"], partitions, segments.count())
+    n = partitions or shuffle_partitions(segments.sparkSession, -(-segments.count() // ROWS))
+    ranged = speech_cases(segments, people, with_text, n)
+    pairs = ranged.mapInPandas(_pairs(-(-PAIRS // n)), "pause double, broken double, length double, change double").limit(PAIRS).toPandas()
+    weights = fit_changes(pairs[["pause", "broken", "length"]].to_numpy(np.float64), pairs["change"].to_numpy(np.float64))
+    named = _decoder(surroundings(ranged.mapInPandas(_rim, RIM).collect()), weights)  # two bounded rows per partition
     schema = "pid int, first_video string, video string, first_seg bigint, first string, last string, opened bigint, one_run boolean"
-    carry = carry_turns([tuple(r) for r in ranged.mapInPandas(_summary, schema).collect()])  # one row per partition
+    carry = carry_turns([tuple(r) for r in ranged.mapInPandas(_summary(named), schema).collect()])  # one row per partition
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = _named(batches)
+        pdf = named(batches)
         if pdf is None:
             return
         state = carry[int(pdf["pid"].iloc[0])]
