@@ -101,14 +101,13 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     return out
 
 
-def is_natural(text: str, limit: int = LIMIT) -> bool:
-    """Whether no stretch between two sentence ends (or the ends of the text) is longer than ``limit``."""
-    at = 0
-    for end in sentence_ends(text):
-        if end - at > limit:
-            return False
-        at = end
-    return True
+def cut_kind(text: str, pieces: list[tuple[int, int, int]]) -> str:
+    """``natural`` if every piece ends where a sentence ends (or the text), else ``forced``.
+
+    Atoms are whole sentences unless one is longer than the limit, so that a cut inside a sentence means that no way around it was left.
+    """
+    ends = set(sentence_ends(text))
+    return "natural" if all(end in ends for _, end, _ in pieces) else "forced"
 
 
 SCHEMA = "piece int, n_pieces int, text string, char_start int, char_end int, overlap_chars int, t_start_s double, t_end_s double, cut string"
@@ -118,7 +117,7 @@ def split_oversized(df: DataFrame, key: str, text: str, start: str, end: str, li
     """The pieces of every text of more than ``limit`` characters: ``key, piece, n_pieces, text, char_start, char_end, overlap_chars, t_start_s, t_end_s, cut``.
 
     A piece's times are its core's share of the text's span by characters; null where a time is missing or not finite or
-    the end is not after the start. ``cut`` tells whether every cut could be at a sentence's end. Repeated rows of a key count once; null and short
+    the end is not after the start. ``cut`` tells whether every piece ends at a sentence's end. Repeated rows of a key count once; null and short
     texts give no piece; an empty input gives an empty result. The rows stay where they are read but for that removal.
     """
     c = {"key": F.col(key), "body": F.col(text).cast("string"), "t0": F.col(start).cast("double"), "t1": F.col(end).cast("double")}
@@ -129,8 +128,8 @@ def split_oversized(df: DataFrame, key: str, text: str, start: str, end: str, li
             out = []
             for k, body, t0, t1 in zip(pdf["key"], pdf["body"], pdf["t0"], pdf["t1"]):
                 good = t0 is not None and t1 is not None and abs(t0) < float("inf") and abs(t1) < float("inf") and t1 > t0
-                cut = "natural" if is_natural(body, limit) else "forced"
                 pieces = split_text(body, limit, overlap)
+                cut = cut_kind(body, pieces)
                 for p, (a, b, head) in enumerate(pieces):
                     share = (t0 + (t1 - t0) * a / len(body), t0 + (t1 - t0) * b / len(body)) if good else (None, None)
                     out.append((k, p, len(pieces), body[head:b], a, b, a - head, *share, cut))
