@@ -155,6 +155,12 @@ def test_components_empty(spark):
 
 
 # --- 5: splitting -------------------------------------------------------------------------------------------------------
+def is_natural(text, limit=1000):
+    """Whether no stretch between two sentence ends (or the ends of the text) is longer than ``limit``."""
+    ends = [0, *splitting.sentence_ends(text)]
+    return all(b - a <= limit for a, b in zip(ends, ends[1:]))
+
+
 def test_splitting_invariants(spark):
     rng = random.Random(7)
     texts = []
@@ -169,10 +175,12 @@ def test_splitting_invariants(spark):
         assert pieces[0][0] == 0 and pieces[-1][1] == len(t)
         assert all(a[1] == b[0] for a, b in zip(pieces, pieces[1:]))
         assert all(b - h <= 1000 and 0 <= a - h <= 120 and h <= a < b for a, b, h in pieces)
-        if splitting.is_natural(t):
+        if is_natural(t):
             ends = set(splitting.sentence_ends(t))
             assert all(b in ends for _, b, _ in pieces)
-    assert splitting.is_natural("Short. " * 300) and not splitting.is_natural("x" * 1001)
+    for t in ("Short. " * 300, "x" * 1001, "a b " * 300 + ". " + "Short. " * 200):
+        assert splitting.cut_kind(t, splitting.split_text(t)) == ("natural" if is_natural(t) else "forced")
+    assert is_natural("Short. " * 300) and not is_natural("x" * 1001)
 
 
 def test_splitting_table(spark):

@@ -4,9 +4,9 @@ States are "the last token read"; an arc (state, token) exists where the merges
 come from successive merge gadgets: processing the merges in rank order, the gadget of merge (a, b) takes the arc a -> b out
 of every state that still shows ``a`` at its right end and every token that still shows ``b`` at its left end at that rank,
 and adds the arc of the merged token, which inherits the restrictions of both ends. The gadgets are kept as three tables
-(pair -> rank, and each token's right and left spine with the rank that hides each spine element); a transition is a lookup
-in them and is memoized. A pre-split word has exactly one accepted path, whose arc labels are its ids; decoding emits the
-labels' bytes.
+(pair -> rank, and each token's right and left spine with the rank that hides each spine element), from which the arcs met are
+compiled and kept. A table over bytes gives the tokens that end at a place. Each byte of a pre-split word moves the automaton to
+exactly one state, without backtracking; the labels of its path are the ids, and decoding emits the labels' bytes.
 """
 
 from __future__ import annotations
@@ -38,13 +38,13 @@ class Automaton:
     def __init__(self, ranks: dict[bytes, int]):
         self.ids = ranks
         self.bytes = {i: t for t, i in ranks.items()}
-        self.longest = max(map(len, ranks), default=0)
         #: gadget (a, b) -> rank; spine elements as (token, rank of the merge that hides it).
         self.gadget: dict[tuple[int, int], int] = {}
         self.right: dict[int, list[tuple[int, int]]] = {}
         self.left: dict[int, list[tuple[int, int]]] = {}
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
             self._merge(token, i)
+        self.step = self._compile()
         self.arcs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, list[int]] = {}
 
@@ -95,35 +95,53 @@ class Automaton:
             self.arcs[u, v] = known
         return known
 
+    def _compile(self) -> dict[int, int]:
+        """The transition table over bytes read backwards: (node, byte) -> node, with the token that ends the walk in ``self.accept``."""
+        step: dict[int, int] = {}
+        accept = [-1]
+        for token, i in self.ids.items():
+            if not self.left[i]:  # never emitted
+                continue
+            node = 0
+            for byte in reversed(token):
+                at = node << 8 | byte
+                node = step.get(at, -1)
+                if node < 0:
+                    node = step[at] = len(accept)
+                    accept.append(-1)
+            accept[node] = i
+        self.accept = accept
+        return step
+
     def path(self, word: bytes) -> list[int]:
-        """The ids of the one accepted path of a word: longest arcs first, dead ends remembered by (position, state)."""
+        """The ids of the one accepted path of a word.
+
+        A prefix of an accepted path is the accepted path of its own bytes, so that the state after each byte is one token: that of
+        the arcs ending there (found by walking the table back from it) which may follow the state at its beginning. One pass sets
+        all states; the labels are emitted from the last one backwards.
+        """
         whole = self.ids.get(word)
         if whole is not None and self.left[whole]:
             return [whole]
-        n, ids, longest, arc, left = len(word), self.ids, self.longest, self.arc, self.left
-        out: list[int] = []
-        ends = [0]
-        tries = [min(n, longest)]
-        dead: set[tuple[int, int]] = set()
-        while ends[-1] < n:
-            i, size = ends[-1], tries[-1]
-            found = False
-            while size:
-                t = ids.get(word[i : i + size])
-                size -= 1
-                if t is not None and left[t] and (i + size + 1, t) not in dead and (not out or arc(out[-1], t)):
-                    tries[-1] = size
-                    out.append(t)
-                    ends.append(i + size + 1)
-                    tries.append(min(n - i - size - 1, longest))
-                    found = True
+        step, accept, arc = self.step, self.accept, self.arc
+        state, begin = [-1], [0]
+        for i in range(1, len(word) + 1):
+            node, found, start = 0, -1, i
+            for j in range(i - 1, -1, -1):
+                node = step.get(node << 8 | word[j], -1)
+                if node < 0:
                     break
-            if not found:
-                dead.add((i, out[-1]))
-                out.pop()
-                ends.pop()
-                tries.pop()
-        return out
+                t = accept[node]
+                if t >= 0 and (not j or arc(state[j], t)):
+                    found, start = t, j
+                    break  # there is no other
+            state.append(found)
+            begin.append(start)
+        out, i = [], len(word)
+        while i:
+            out.append(state[i])
+            i = begin[i]
+        return out[::-1]
 
     def encode(self, words: list[str]) -> list[int]:
         """Ids of pre-split words."""
