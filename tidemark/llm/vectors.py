@@ -35,6 +35,8 @@ TASK_ROWS = 100_000
 #: Points by whose hash strings the ranges are set, at most about twice as many (a sample by a hash of the key).
 SAMPLE = 200_000
 _TIE = 64 - BITS
+#: Stands for a cosine where there is no candidate.
+NONE = -2.0
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -95,15 +97,17 @@ def _scan(keys: np.ndarray, ids: np.ndarray, unit: np.ndarray, own: slice, low:
         left, right = int(lo.min()), int(hi.max())
         column = np.arange(left, right)
         scores = small[a:b] @ small[left:right].T
-        scores[(column < lo[:, None]) | (column >= hi[:, None]) | (column == np.arange(a, b)[:, None])] = -2
+        scores[(column < lo[:, None]) | (column >= hi[:, None]) | (column == np.arange(a, b)[:, None])] = NONE
         m = min(k + 3, right - left)
-        top = np.argpartition(-scores, m - 1, axis=1)[:, :m] if m < right - left else np.tile(np.arange(m), (b - a, 1))
-        real = np.take_along_axis(scores, top, 1) > -1.5
-        exact = np.where(real, np.einsum("ij,ikj->ik", unit[a:b], unit[left + top]), -2)
+        top = np.argpartition(scores, right - left - m, axis=1)[:, right - left - m :] if m < right - left else np.tile(np.arange(m), (b - a, 1))
+        real = np.take_along_axis(scores, top, 1) > NONE + 0.5
+        exact = np.where(real, np.einsum("ij,ikj->ik", unit[a:b], unit[left + top]), NONE)
         order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-        which, cosine = np.take_along_axis(top, order, 1) + left, np.take_along_axis(exact, order, 1)
-        keep = cosine > -1.5
-        yield pd.DataFrame({"point": np.repeat(ids[a:b], keep.sum(1)), "other": ids[which[keep]], "cosine": cosine[keep]})
+        others = np.full((b - a, k), 0, np.int64)
+        cosines = np.full((b - a, k), NONE)
+        others[:, : order.shape[1]] = ids[np.take_along_axis(top, order, 1) + left]
+        cosines[:, : order.shape[1]] = np.take_along_axis(exact, order, 1)
+        yield pd.DataFrame({"point": ids[a:b], "others": [r.tobytes() for r in others], "cosines": [r.tobytes() for r in cosines]})
 
 
 class _Forest:
@@ -184,26 +188,49 @@ def _descend(candidates: int):
     return run
 
 
-def _ascend(trees: int, candidates: int):
-    """Sums the counts of a point's trees, which come one after the other, and gives its level."""
-
-    def levels(ids: np.ndarray, counts: list[bytes]) -> pd.DataFrame:
-        c = np.frombuffer(b"".join(counts), np.uint16).reshape(-1, trees, BITS + 1).sum(1, dtype=np.int64) - trees
-        enough = c[:, ::-1] >= candidates
-        return pd.DataFrame({"point": ids[::trees], "level": np.where(enough.any(1), BITS - enough.argmax(1), 0).astype(np.int32)})
+def _by_point(trees: int, use):
+    """Applies ``use`` to the rows of a sorted partition in whole points, each of which has one row from every tree."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, counts = np.empty(0, np.int64), []
+        rest = None
         for pdf in batches:
-            ids, counts = np.append(ids, pdf["point"].to_numpy(np.int64)), counts + pdf["counts"].tolist()
-            whole = len(ids) // trees * trees
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            whole = len(pdf) // trees * trees
+            rest = pdf.iloc[whole:]
             if whole:
-                yield levels(ids[:whole], counts[:whole])
-            ids, counts = ids[whole:], counts[whole:]
+                yield use(pdf.iloc[:whole])
 
     return run
 
 
+def _ascend(trees: int, candidates: int):
+    """A point's level: its trees' counts added up, the greatest length with enough."""
+
+    def level(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = np.frombuffer(b"".join(pdf["counts"]), np.uint16).reshape(-1, trees, BITS + 1).sum(1, dtype=np.int64) - trees
+        enough = c[:, ::-1] >= candidates
+        return pd.DataFrame({"point": pdf["point"].to_numpy()[::trees], "level": np.where(enough.any(1), BITS - enough.argmax(1), 0).astype(np.int32)})
+
+    return _by_point(trees, level)
+
+
+def _merge(trees: int, k: int):
+    """A point's best k of all trees, each once; of equal cosines the smaller key."""
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        others = np.frombuffer(b"".join(pdf["others"]), np.int64).reshape(-1, trees * k)
+        cosines = np.frombuffer(b"".join(pdf["cosines"]), np.float64).reshape(-1, trees * k)
+        order = np.lexsort((-cosines, others), axis=1)
+        others, cosines = np.take_along_axis(others, order, 1), np.take_along_axis(cosines, order, 1).copy()
+        cosines[:, 1:][(others[:, 1:] == others[:, :-1]) & (cosines[:, :-1] > NONE)] = NONE
+        order = np.argsort(-cosines, axis=1, kind="stable")[:, :k]
+        others, cosines = np.take_along_axis(others, order, 1), np.take_along_axis(cosines, order, 1)
+        keep = cosines > NONE
+        return pd.DataFrame({"point": np.repeat(pdf["point"].to_numpy()[::trees], keep.sum(1)), "other": others[keep], "cosine": cosines[keep]})
+
+    return _by_point(trees, merge)
+
+
 def _search(k: int, reach: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = _sorted(batches)
@@ -250,10 +277,8 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 5, dim: int =
     counts = forest.arrays(points.select("point", "raw"), []).mapInPandas(_descend(candidates), "point bigint, counts binary")
     levels = counts.repartition("point").sortWithinPartitions("point").mapInPandas(_ascend(trees, candidates), "point bigint, level int")
     levelled = points.select("point", "raw").join(levels, "point")
-    found = forest.arrays(levelled, ["raw", "level"]).mapInPandas(_search(k, candidates), "point bigint, other bigint, cosine double")
-    # One exchange by point serves the merging and the ranking.
-    best = found.repartition("point").dropDuplicates(["point", "other"])
-    ranked = best.withColumn("r", F.row_number().over(Window.partitionBy("point").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= k).drop("r")
+    found = forest.arrays(levelled, ["raw", "level"]).mapInPandas(_search(k, candidates), "point bigint, others binary, cosines binary")
+    ranked = found.repartition("point").sortWithinPartitions("point").mapInPandas(_merge(trees, k), "point bigint, other bigint, cosine double")
     # Neighbouring points bring their smallest ids; the point itself brings its own equals with cosine 1.
     others = points.select(F.col("point").alias("other"), F.col("firsts").alias("ids"))
     candidates_ = ranked.join(others, "other").select("point", "cosine", F.explode("ids").alias("neighbor"))
