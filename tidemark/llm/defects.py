@@ -2,8 +2,9 @@
 
 Languages come from a character n-gram naive Bayes model whose training texts are labelled by the common words of each language;
 the posteriors of question and answer are compared. Truncation comes from a naive Bayes model of text ends: the suffix n-grams
-of answers cut at their sentence ends against those of the same answers cut anywhere else. Both models are fitted on a
-bounded sample of the pairs (SAMPLE rows, by a hash of the key); every pair is judged.
+of answers cut at their sentence ends against those of the same answers cut anywhere else. Refusals come from a naive Bayes model of
+word n-grams, taught by the hints low_evidence and n_citations. All models are fitted on a bounded sample of the pairs (SAMPLE
+rows, by a hash of the key); every pair is judged.
 """
 
 from __future__ import annotations
@@ -29,18 +30,20 @@ NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 #: Placeholders that stand for no answer (fixed values).
 PLACEHOLDERS = {"null", "none", "nil", "nan", "na", "n a", "n/a", "tbd", "todo", "tba", "empty", "undefined", "unknown", "no answer", "not available", "missing", "blank", "xxx", "keine antwort", "sin respuesta", "pas de réponse", "leer", "vacío", "vide", "placeholder", "test"}
-#: What declines or says that it cannot answer, by language (fixed patterns).
-REFUSALS = re.compile(
-    r"""\bi (?:really |simply |just )?(?:do not|don['’]t) (?:know|have (?:an answer|enough|any information|that information))|\bi (?:am|['’]m) (?:unable|not able|not sure|not in a position)|\bi (?:can ?not|can['’]t|could not|couldn['’]t) (?:say|answer|help|tell|find|provide|respond)
-    |\b(?:unable|not able) to (?:say|answer|help|tell)|\bnone of the (?:videos|talks|sources|recordings)\b.{0,30}\b(?:cover|mention|discuss|address|answer|treat)|\bno (?:material|information|passage|source|evidence|video|record|data)\b.{0,25}\b(?:about|on|backs?|covers?|supports?|mentions?|available)
-    |\bthere is nothing (?:on|about) (?:that|this|it)|\boutside what i can|\bbeyond what i can|\bleaves? (?:this|that|it) open|\b(?:have|has) to (?:stay|remain) open|\bis never mentioned|\bshould answer that|\b(?:rather|prefer) not (?:to )?(?:guess|say|answer|speculate)|\bcan['’]?t (?:help|answer)|\bcannot (?:help|answer)
-    |\b(?:weiß|weiss) ich nichts|\bich (?:weiß|weiss) (?:es |das |dazu |darüber |hierzu )?nicht|\bnicht beantworten|\bgibt es (?:dazu|hierzu|darüber) keine|\bkeine (?:stelle|angaben?|informationen?|antwort|quelle)\b.{0,30}\b(?:videos?|dazu|darüber|gefunden)|\bkein video\b.{0,30}\b(?:thema|behandelt)|\b(?:kann|möchte|will) ich (?:dazu |lieber |das |nur |hier |darüber )*nicht (?:sagen|raten|helfen)|\b(?:lieber|möchte) nicht raten
-    |\bno puedo (?:responder|contestar|ayudar|decir)|\bno encuentro nada|\bno (?:lo )?sé\b|\bning[uú]n v[ií]deo (?:trata|menciona|cubre|habla)|\bprefiero no (?:adivinar|suponer|decir)|\bno hay (?:nada|información|material|datos) (?:sobre|en|acerca)|\bno tengo (?:información|respuesta|datos)
-    |\bje ne (?:peux|sais|saurais|puis) pas|\bje n['’]ai rien trouvé|\baucune vidéo ne|\bje préfère ne pas|\bil n['’]y a rien (?:sur|à ce sujet|là-dessus)|\bimpossible de répondre|\bje n['’]ai (?:pas|aucune) (?:de |d['’])?(?:réponse|information)""",
-    re.IGNORECASE | re.VERBOSE,
-)
-#: re.VERBOSE drops blanks, so the pattern's own are put back as \s+.
-REFUSALS = re.compile(re.sub(r"\n\s*", "", REFUSALS.pattern).replace(" ", r"\s+"), re.IGNORECASE)
+#: General refusals and plain answers that the refusal model starts from, so that it has an opinion where no row is labelled.
+SEED_REFUSALS = [
+    "I do not know.", "I don't know the answer to that.", "I don't know that.", "I cannot answer this question.", "I can't answer what happened there.", "I'm sorry, but I can't help with that.", "Sorry, I cannot say.",
+    "Sorry, none of the videos mention this.", "None of the sources cover this.", "None of the videos cover this.", "There is no information about this in the sources.", "I have no information on that.", "I am not able to say.",
+    "Es tut mir leid, das weiß ich nicht.", "Tut mir leid, dazu weiß ich nichts.", "Ich weiß nichts über dieses Thema.", "Darauf kann ich nicht antworten.", "Dazu gibt es keine Angaben.", "Keines der Videos behandelt das.", "Ich kann das nicht beantworten.",
+    "Lo siento, no lo sé.", "Lo siento, no puedo responder a eso.", "No encuentro nada sobre este tema.", "No hay información sobre eso.", "Ningún vídeo habla de esto.", "No tengo datos sobre eso.",
+    "Désolé, je ne sais pas.", "Désolé, je ne peux pas répondre à cette question.", "Je n’ai rien trouvé sur ce sujet.", "Il n’y a aucune information sur ce sujet.", "Aucune vidéo ne parle de cela.", "Je n’ai pas de réponse.",
+]
+SEED_ANSWERS = [
+    "The pump at Calder was closed in 1998.", "He said that 12 boats had left the harbour, and the crew measured 40 metres.", "It took 3 years because the ground was wet.", "The answer came from Brimley, and the second reply was longer.", "She was the first to answer the call at the mill.",
+    "Das Rad bei Brimley wurde 1998 repariert.", "Er hat 12 Boote gezählt, weil der Hafen voll war.", "Die Mühle war nach 3 Jahren wieder offen.",
+    "El muelle de Calder se cerró en 1998.", "Dijo que 12 barcos salieron del puerto.", "La obra duró 3 años porque llovía.",
+    "Le moulin de Brimley a été fermé en 1998.", "Il a compté 12 bateaux dans le port.", "Le travail a duré 3 ans parce que le sol était humide.",
+]
 LANGUAGES = ["en", "fr", "de", "es"]
 
 
@@ -105,6 +108,50 @@ def suffixes(text: str) -> list[str]:
     return [f"{n}{s[-n:]}" for n in (1, 2, 3, 4, 5) if len(s) >= n] + [f"w{re.sub(r'[0-9]', '0', last)}"]
 
 
+def phrases(text: str) -> set[str]:
+    """Runs of one to three words within the sentences of a text, their bounds included; numbers and names inside a sentence are classes."""
+    out: set[str] = set()
+    for sentence in re.split(r"(?<=[.!?…])\s+|\n", text):
+        words = ["<"]
+        for i, m in enumerate(WORD.finditer(sentence)):
+            w = m.group()
+            words.append("0" if any(c.isdigit() for c in w) else "A" if i and w[:1].isupper() and len(w) > 1 else w.lower())
+        words.append(">")
+        for n in (1, 2, 3):
+            out.update(" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
+    return out - {"<", ">", "< >"}
+
+
+def answer_body(answer: str) -> str:
+    """An answer without citations and quotations."""
+    return QUOTED.sub(" ", CITATION.sub("", answer))
+
+
+class Refusals:
+    """Naive Bayes over word n-grams: refusals against answers.
+
+    ``rows``: (answer, low_evidence, n_citations). An answer with low evidence and no citation counts as a refusal, one with
+    evidence and citations as an answer; the others teach nothing. These hints are often wrong for a single row, yet what they
+    share over many rows is the wording of refusals. An answer that reports a refusal and then states facts has the phrases of both.
+    """
+
+    def __init__(self, rows: list[tuple]):
+        said = {True: Counter(), False: Counter()}
+        n = {True: 0, False: 0}
+        taught = [(t, True) for t in SEED_REFUSALS] + [(t, False) for t in SEED_ANSWERS]
+        taught += [(answer_body(a), bool(low)) for a, low, cited in rows if (low is True and cited == 0) or (low is False and cited is not None and cited > 0)]
+        for text, refuses in taught:
+            said[refuses].update(phrases(text))
+            n[refuses] += 1
+        seeds = set().union(*(phrases(t) for t in SEED_REFUSALS + SEED_ANSWERS))
+        known = {g for g in set(said[True]) | set(said[False]) if said[True][g] + said[False][g] > 1 or g in seeds}
+        self.logs = {g: math.log((said[True][g] + 0.2) / (n[True] + 0.4)) - math.log((said[False][g] + 0.2) / (n[False] + 0.4)) for g in known}
+
+    def score(self, answer: str) -> float:
+        """Log likelihood ratio of a refusal against an answer."""
+        return sum(self.logs.get(g, 0.0) for g in phrases(answer_body(answer)))
+
+
 SENTENCE = re.compile(r"[.!?](?=\s|\Z)(?:\s*\[\d+\])*(?:\s*\(«[^»]*»\))?")
 
 
@@ -128,7 +175,7 @@ class Ends:
                 if SENTENCE.search(s[-12:]) and re.search(r"[.!?](\s*\[\d+\])?\Z", s):
                     continue
                 s = re.sub(r"\[\Z", "", s)
-                s = rng.choice((s, s, s, s + "-", s + "…", s + ",", s + " [1"))
+                s = rng.choice((s, s, s, s, s + "-", s + "…", s + "...", s + " ...", s + " …", s + ",", s + " [1"))
                 bad.update(set(suffixes(s)))
                 n_bad += 1
         self.logs = {g: math.log((good[g] + 0.5) / (n_good + 1)) - math.log((bad[g] + 0.5) / (n_bad + 1)) for g in set(good) | set(bad)}
@@ -166,16 +213,18 @@ def is_copy(q: str | None, answer: str) -> bool:
     return both >= 0.75 * len(a) and both >= 0.7 * len(b)
 
 
-def judge(q: str | None, answer: str | None, languages: Languages, ends: Ends) -> str | None:
-    """The defect of a pair, or None. Defects are looked for in this order: empty, copy, refusal, other_language, truncated."""
+def judge(q: str | None, answer: str | None, languages: Languages, ends: Ends, refusals: Refusals | None = None) -> str | None:
+    """The defect of a pair, or None. Defects are looked for in this order: empty, copy, refusal, other_language, truncated.
+
+    Without a refusal model the one of the seed texts alone is used.
+    """
+    refusals = refusals or SEEDED
     if is_empty(answer):
         return "empty"
     if is_copy(q, answer):
         return "copy"
-    plain = CITATION.sub("", answer)
-    body = QUOTED.sub(" ", plain)
-    # An answer that reports a refusal and then gives a measured fact does not refuse; the question's own numbers are no fact.
-    if REFUSALS.search(body) and not {*NUMBER.findall(body)} - {*NUMBER.findall(q or "")}:
+    plain, body = CITATION.sub("", answer), answer_body(answer)
+    if refusals.score(answer) > 0 and not {*NUMBER.findall(body)} - {*NUMBER.findall(q or "")}:  # the question's own numbers are no fact
         return "refusal"
     words = WORD.findall(plain)
     if q and len(words) > 3:
@@ -185,7 +234,7 @@ def judge(q: str | None, answer: str | None, languages: Languages, ends: Ends) -
             asked, said = max(mine, key=mine.get), max(theirs, key=theirs.get)
             if asked != said and theirs[said] - theirs[asked] > max(6.0, 0.12 * m) and mine[asked] - mine[said] > 3.0:
                 return "other_language"
-    open_end = answer.rstrip()[-1:] in "…,-–" or re.search(r"\[\d*\Z", answer.rstrip())
+    open_end = answer.rstrip()[-1:] in "…,-–" or answer.rstrip().endswith("..") or re.search(r"\[\d*\Z", answer.rstrip())
     if len(words) <= 3 and not open_end:
         return None
     if ends.complete(answer) < 0:
@@ -193,13 +242,17 @@ def judge(q: str | None, answer: str | None, languages: Languages, ends: Ends) -
     return None
 
 
+SEEDED = Refusals([])
+
+
 def broken_pairs(pairs: DataFrame, words: DataFrame, key: str = "probe_id", q: str = "q", answer: str = "answer", sample: int = SAMPLE) -> DataFrame:
     """``key, defect`` of every pair with a defect: empty, truncated, refusal, copy or other_language.
 
     Repeated rows of a key count once. A null or blank answer is empty; with a null question only empty, refusal and truncated can be
-    told. ``words``: the common words by language (a small fixed table, checked against 100,000 rows). Other columns are ignored.
+    told. ``low_evidence`` and ``n_citations``, where ``pairs`` has them, teach the refusal model and decide nothing by themselves. ``words``: the common words by language (a small fixed table, checked against 100,000 rows). Other columns are ignored.
     """
-    rows = pairs.select(F.col(key).alias("key"), F.col(q).cast("string").alias("q"), F.col(answer).cast("string").alias("answer"))
+    hint = lambda name, kind: (F.col(name) if name in pairs.columns else F.lit(None)).cast(kind)
+    rows = pairs.select(F.col(key).alias("key"), F.col(q).cast("string").alias("q"), F.col(answer).cast("string").alias("answer"), hint("low_evidence", "boolean").alias("low"), hint("n_citations", "bigint").alias("cited"))
     rows = rows.where(F.col("key").isNotNull()).repartition(shuffle_partitions(pairs.sparkSession), "key").dropDuplicates(["key"])
     got = words.where("lang is not null and word is not null").select("lang", F.lower("word")).limit(100_001).collect()
     if len(got) > 100_000:
@@ -207,13 +260,15 @@ def broken_pairs(pairs: DataFrame, words: DataFrame, key: str = "probe_id", q: s
     common: dict[str, set[str]] = {}
     for lang, w in got:
         common.setdefault(lang, set()).add(w)
-    some = [(r["q"], r["answer"]) for r in rows.orderBy(F.xxhash64("key"), "key").limit(sample).collect()]
-    languages = Languages([t for r in some for t in r if t], common)
-    ends = Ends([a for _, a in some if a and len(a) > 40])
+    some = rows.orderBy(F.xxhash64("key"), "key").limit(sample).collect()
+    languages = Languages([t for r in some for t in (r["q"], r["answer"]) if t], common)
+    ends = Ends([r["answer"] for r in some if r["answer"] and len(r["answer"]) > 40])
+    # An empty answer and a repeated question teach nothing about refusals.
+    refusals = Refusals([(r["answer"], r["low"], r["cited"]) for r in some if not is_empty(r["answer"]) and not is_copy(r["q"], r["answer"])])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["defect"] = [judge(x or None, y, languages, ends) for x, y in zip(pdf["q"], pdf["answer"])]
+            pdf["defect"] = [judge(x or None, y, languages, ends, refusals) for x, y in zip(pdf["q"], pdf["answer"])]
             yield pdf.loc[pdf["defect"].notna(), ["key", "defect"]]
 
     out = rows.mapInPandas(run, f"key {rows.schema['key'].dataType.simpleString()}, defect string")
