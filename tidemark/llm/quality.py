@@ -102,11 +102,12 @@ def _odd(word: str, common: set[str], known: dict[str, bool]) -> bool:
     return got
 
 
-_ODD: dict[str, bool] = {}
+def statistics(text: str, common: set[str], known_words: dict[str, bool] | None = None) -> list[float]:
+    """The statistics of one text, in the order of NAMES. All are defined for empty and blank texts (0).
 
-
-def statistics(text: str, common: set[str]) -> list[float]:
-    """The statistics of one text, in the order of NAMES. All are defined for empty and blank texts (0)."""
+    ``known_words`` remembers what words look like, for one set of common words.
+    """
+    known_words = {} if known_words is None else known_words
     words = WORD.findall(text)
     n = len(words)
     lower = [w.lower() for w in words]
@@ -118,7 +119,7 @@ def statistics(text: str, common: set[str]) -> list[float]:
     chars = sum(map(len, lines)) or 1
     counted = Counter(lower)
     known = sum(k for w, k in counted.items() if w in common)
-    odd = sum(k for w, k in counted.items() if _odd(w, common, _ODD))
+    odd = sum(k for w, k in counted.items() if _odd(w, common, known_words))
     broken = len(BROKEN.findall(text))
     tokens = text.split()
     garbled = sum(1 for t in tokens if BROKEN.search(t)) / max(1, len(tokens)) if broken else 0
@@ -188,8 +189,9 @@ def weak_label(s: np.ndarray | list[float]) -> int | None:
     return None
 
 
-def _features(texts: list[str], common: set[str]) -> np.ndarray:
-    return np.array([statistics(t, common) for t in texts], np.float64).reshape(len(texts), len(NAMES))
+def _features(texts: list[str], common: set[str], known_words: dict[str, bool] | None = None) -> np.ndarray:
+    known_words = {} if known_words is None else known_words
+    return np.array([statistics(t, common, known_words) for t in texts], np.float64).reshape(len(texts), len(NAMES))
 
 
 def _inputs(x: np.ndarray) -> np.ndarray:
@@ -217,25 +219,27 @@ def _common(words: DataFrame) -> set[str]:
     return set(got)
 
 
-def document_statistics(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and the five headline statistics of every document: n_words, mean_word_len, symbol_ratio, punct_line_share, common_share.
+#: The statistics' patterns as the JVM and SQL engines know them: words, white space, line ends, punctuated ends.
+JVM_WORD, JVM_SPACE, JVM_LINE, JVM_END = r"\p{L}+(?:['’]\p{L}+)*", r"\s\p{Z}", r"[\n\r\x0B\x0C\x{85}\x{2028}\x{2029}]", r"[.!?…:;]['\"»”)\]]*[\s\p{Z}]*$"
 
-    Null, empty and blank texts have 0 in all of them. Repeated rows are kept; extra columns are ignored.
-    """
-    common = _common(words)
-    names = NAMES[:5]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = _features([t or "" for t in pdf["text"]], common)[:, :5]
-            out = pd.DataFrame(x, columns=names)
-            out["n_words"] = out["n_words"].astype("int64")
-            out.insert(0, "key", pdf["key"].to_numpy())
-            yield out
+def document_statistics(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and five statistics of every document: n_words, mean_word_len, symbol_ratio, punct_line_share, common_share.
 
-    rows = spread(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")))
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, n_words bigint, " + ", ".join(f"{n} double" for n in names[1:])
-    return rows.mapInPandas(run, schema).withColumnRenamed("key", key)
+    Null, empty and blank texts have 0 in all of them. Repeated rows are kept; extra columns are ignored. Column expressions alone.
+    """
+    common = sorted(_common(words))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    rows = rows.withColumn("w", F.regexp_extract_all(F.lower("t"), F.lit(JVM_WORD), F.lit(0)))
+    rows = rows.withColumn("lines", F.filter(F.split("t", JVM_LINE), lambda x: x.rlike(rf"[^{JVM_SPACE}]")))
+    solid = F.length(F.regexp_replace("t", rf"[{JVM_SPACE}]", ""))
+    symbols = F.length(F.regexp_replace("t", rf"[{JVM_SPACE}\p{{L}}\p{{N}}]", ""))
+    share = lambda some, all_: F.when(all_ > 0, some / all_).otherwise(F.lit(0.0))
+    n = F.size("w")
+    return rows.select(
+        F.col("key").alias(key), n.cast("bigint").alias("n_words"), share(F.length(F.array_join("w", "")), n).alias("mean_word_len"), share(symbols, solid).alias("symbol_ratio"),
+        share(F.size(F.filter("lines", lambda x: x.rlike(JVM_END))), F.size("lines")).alias("punct_line_share"), share(F.size(F.filter("w", lambda x: x.isin(common))), n).alias("common_share"),
+    )
 
 
 def classify_documents(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -249,16 +253,18 @@ def classify_documents(docs: DataFrame, words: DataFrame, key: str = "doc_id", t
     some = rows.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // sample))) == 0).select("text")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, bool] = {}
         for pdf in batches:
-            yield pd.DataFrame({"x": list(_features(pdf["text"].tolist(), common))})
+            yield pd.DataFrame({"x": list(_features(pdf["text"].tolist(), common, known))})
 
     measured = some.mapInPandas(measure, "x array<double>").limit(2 * sample).toPandas()
     x = np.stack(measured["x"].to_numpy()) if len(measured) else np.zeros((0, len(NAMES)))
     model = train(x, common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, bool] = {}
         for pdf in batches:
-            p = model.proba(_inputs(_features(pdf["text"].tolist(), common)))
+            p = model.proba(_inputs(_features(pdf["text"].tolist(), common, known)))
             k = p.argmax(1) if len(p) else np.zeros(0, int)
             yield pd.DataFrame({"key": pdf["key"], "kind": [KINDS[i] for i in k], "probability": p.max(1) if len(p) else []})
 

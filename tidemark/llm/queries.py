@@ -9,7 +9,7 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.defects import broken_pairs
 from tidemark.llm.neardup import expand_links, near_duplicates
 from tidemark.llm.packing import pack_documents
-from tidemark.llm.quality import classify_documents, document_statistics
+from tidemark.llm.quality import JVM_END, JVM_LINE, JVM_SPACE, JVM_WORD, classify_documents, document_statistics
 from tidemark.llm.splitting import split_oversized
 from tidemark.llm.tokens import encode_texts
 from tidemark.llm.turns import speaker_turns, turn_cases
@@ -94,7 +94,18 @@ def oracle_sql() -> dict:
     return SQL
 
 
+_quoted = lambda s: "'" + s.replace("'", "''") + "'"
+
 SQL = {
+    "p10_statistics": f"""
+with d as (select doc_id, coalesce(text, '') t from documents),
+w as (select doc_id, t, regexp_extract_all(lower(t), {_quoted(JVM_WORD)}) w, list_filter(string_split_regex(t, {_quoted(JVM_LINE)}), lambda x: regexp_matches(x, {_quoted(f"[^{JVM_SPACE}]")})) l,
+ length(regexp_replace(t, {_quoted(f"[{JVM_SPACE}]")}, '', 'g')) solid, length(regexp_replace(t, {_quoted(f"[{JVM_SPACE}" + r"\p{L}\p{N}]")}, '', 'g')) symbols from d),
+c as (select list(distinct lower(word)) cs from common_words where word is not null)
+select doc_id, len(w)::bigint as n_words, case when len(w) > 0 then length(array_to_string(w, ''))::double / len(w) else 0 end as mean_word_len, case when solid > 0 then symbols::double / solid else 0 end as symbol_ratio,
+ case when len(l) > 0 then len(list_filter(l, lambda x: regexp_matches(x, {_quoted(JVM_END)})))::double / len(l) else 0 end as punct_line_share,
+ case when len(w) > 0 then len(list_filter(w, lambda x: list_contains(cs, x)))::double / len(w) else 0 end as common_share from w, c
+""",
     "p4_found": """
 with recursive l as (
   select distinct claim_a a, claim_b b from contradiction_pairs
