@@ -182,11 +182,32 @@ def clean_cue(text: str, people: People) -> tuple[list[tuple[str, float]], str]:
     return readings, re.sub(r"\s+", " ", s).strip(" -–—")
 
 
-CASES = "pid int, video_id string, start_s double, seg_id bigint, end_s double, named string, readings array<struct<s:string,x:double>>, lower boolean, stops boolean, speech string"
+#: A partition's cases travel as a few Arrow blocks, so that the passes over them don't convert them row by row.
+BLOCKS = "pid int, block binary"
+_CASES = [("pid", "int32"), ("video_id", "string"), ("start_s", "float64"), ("seg_id", "int64"), ("end_s", "float64"), ("named", "string"), ("readings", None), ("lower", "bool_"), ("stops", "bool_"), ("speech", "string")]
+
+
+def _pack(rows: list[tuple]) -> pd.DataFrame:
+    """Cases as one block."""
+    import pyarrow as pa
+
+    kinds = [getattr(pa, kind)() if kind else pa.list_(pa.struct([("s", pa.string()), ("x", pa.float64())])) for _, kind in _CASES]
+    arrays = [pa.array(column, kind, from_pandas=True) for column, kind in zip(zip(*rows), kinds)]
+    batch = pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in _CASES])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return pd.DataFrame({"pid": [rows[0][0]], "block": [sink.getvalue().to_pybytes()]})
+
+
+def _unpack(blocks) -> pd.DataFrame:
+    import pyarrow as pa
+
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blocks]).to_pandas()
 
 
 def speech_cases(segments: DataFrame, people: list[tuple], with_text: bool, partitions: int) -> DataFrame:
-    """The cases of a table of cues, range-sorted by video, start and seg_id, checkpointed with their partition number ``pid``.
+    """The cases of a table of cues in blocks, range-sorted by video, start and seg_id, checkpointed with their partition number ``pid``.
 
     One row per cue with a video, a finite start and at least one spoken word, whatever its kind. ``named`` is the one reading of
     its label; ``readings`` has them where there are several. The raw cues are sorted, so that each is cleaned once.
@@ -206,14 +227,15 @@ def speech_cases(segments: DataFrame, people: list[tuple], with_text: bool, part
                 readings = known.read(label) or head
                 several = [{"s": s, "x": x} for s, x in readings] if len(readings) > 1 else None
                 out.append((pid, video, start, seg, end, readings[0][0] if len(readings) == 1 else None, several, speech[:1].islower(), speech[-1:] in ".!?…", speech if with_text else None))
-            yield pd.DataFrame(out, columns=["pid", "video_id", "start_s", "seg_id", "end_s", "named", "readings", "lower", "stops", "speech"])
+            if out:
+                yield _pack(out)
 
     start = F.col("start_s").cast("double")
     use = F.col("seg_id").isNotNull() & F.col("video_id").isNotNull() & F.col("text").isNotNull() & start.isNotNull() & ~F.isnan(start) & (F.abs(start) < float("inf"))
     rows = segments.where(use).select("seg_id", "video_id", start.alias("start_s"), F.col("end_s").cast("double").alias("end_s"), "text", "speaker")
     keys = ["video_id", "start_s", "seg_id"]
     ranged = rows.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).withColumn("pid", F.spark_partition_id())
-    return materialize(ranged.mapInPandas(run, CASES))
+    return materialize(ranged.mapInPandas(run, BLOCKS))
 
 
 #: Pairs of a labelled case and the one before it that the model is fitted on, at most; cases that a partition looks at beyond
@@ -236,9 +258,10 @@ def _pairs(most: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left = most
-        for pdf in batches:
-            if left <= 0 or not len(pdf):
+        for block in batches:
+            if left <= 0 or not len(block):
                 continue
+            pdf = _unpack(block["block"])
             pauses, breaks = _evidence(pdf)
             labelled = np.flatnonzero(pdf["named"].notna().to_numpy())
             if len(labelled) < 2:
@@ -302,8 +325,8 @@ def choose_readings(readings: list[list], pauses: np.ndarray, breaks: np.ndarray
 
 
 def _whole(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
-    parts = [p for p in batches if len(p)]
-    return pd.concat(parts, ignore_index=True) if parts else None
+    parts = [b for p in batches for b in p["block"]]
+    return _unpack(parts) if parts else None
 
 
 def _readings(pdf: pd.DataFrame) -> list[list]:
