@@ -1,12 +1,17 @@
+import os
 import random
+import sys
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+sys.path.insert(0, os.path.dirname(__file__))
+
 from tidemark.llm import components, defects, neardup, packing, quality, splitting, tokens, turns, vectors
 from tidemark.llm.holdout import CHECKED
+from tidemark.session import table
 
 
 # --- 1: similar vectors -------------------------------------------------------------------------------------------------
@@ -396,3 +401,31 @@ def test_quality(spark):
     stats = {r.doc_id: r for r in quality.document_statistics(df, words).collect()}
     assert stats[900].n_words == 0 and stats[0].n_words > 20 and len(stats) == len(docs)
     assert quality.classify_documents(df.limit(0), words).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/documents.parquet"), reason="needs the test tables")
+def test_quality_on_a_hand_checked_holdout(spark):
+    """Accuracy and calibration error on 205 documents that a reader judged, disjoint from the training sample."""
+    from checked_documents import HOLDOUT
+
+    docs, words = (table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "common_words"))
+    truth = {i: kind for kind, ids in HOLDOUT.items() for i in ids}
+    n = docs.count()
+    taught = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n // quality.SAMPLE)) == 0).select("doc_id")
+    assert len(truth) >= 200 and not {r[0] for r in taught.collect()} & set(truth)
+    got = {r.doc_id: (r.kind, r.probability) for r in quality.classify_documents(docs, words).collect() if r.doc_id in truth}
+    right = np.array([got[i][0] == truth[i] for i in truth])
+    sure = np.array([got[i][1] for i in truth])
+    cells = np.minimum((sure * 10).astype(int), 9)
+    error = sum(abs(right[cells == c].mean() - sure[cells == c].mean()) * (cells == c).mean() for c in np.unique(cells))
+    assert right.mean() >= 0.98 and error <= 0.02, (right.mean(), error)
+
+
+def test_statistics_as_columns(spark):
+    texts = ["We saw it.\nThe end", "", None, "  \n", "a-b c’d 12 ½ é\u00a0x", "1) one\r\n2) two: \n\n- three;", "日本語 テキスト。"]
+    words = spark.createDataFrame([("en", "The"), ("en", "it"), ("en", None)], "lang string, word string")
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, w int")
+    got = {r.doc_id: r for r in quality.document_statistics(df, words).collect()}
+    assert len(got) == len(texts) and all(got[i][1:] == (0, 0.0, 0.0, 0.0, 0.0) for i in (1, 2, 3))
+    assert (got[0].n_words, got[0].common_share, got[0].punct_line_share) == (5, 0.4, 0.5) and abs(got[0].mean_word_len - 13 / 5) < 1e-12 and abs(got[0].symbol_ratio - 1 / 14) < 1e-12
+    assert got[4].n_words == 5 and got[5].punct_line_share == 2 / 3 and got[5].n_words == 3
