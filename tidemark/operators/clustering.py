@@ -24,6 +24,14 @@ def first_fit(vectors: DataFrame, threshold: float, most: int | None = 512, chun
     Keys are unique; a zero vector leads itself. Beyond ``most`` representatives an unmatched vector leads itself; None: no bound.
     """
     kind = vectors.schema["key"].dataType.simpleString()
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["key"], "vec": [np.asarray(v, np.float64).tobytes() for v in pdf["vec"]]})
+
+    def stack(vecs: pd.Series) -> np.ndarray:
+        return np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1)
+
     n, names, known = 0, [], np.zeros((0, 0))  # all representatives' number; keys and unit vectors of the last round's
 
     def unit(m: np.ndarray) -> np.ndarray:
@@ -39,22 +47,22 @@ def first_fit(vectors: DataFrame, threshold: float, most: int | None = 512, chun
             for pdf in batches:
                 for at in range(0, len(pdf), 1024):
                     part = pdf.iloc[at : at + 1024]
-                    yield part.assign(leader=pd.Series(leaders(np.stack(part["vec"].to_numpy())), part.index, object))
+                    yield part.assign(leader=pd.Series(leaders(stack(part["vec"])), part.index, object))
 
         return run
 
     zero = F.forall("vec", lambda x: x == 0)
-    rest = vectors.where(~zero).select("key", "vec")
+    rest = vectors.where(~zero).select("key", "vec").mapInPandas(pack, f"key {kind}, vec binary")  # packed once for all rounds
     done: list[DataFrame] = [vectors.where(zero).selectExpr("key", "key as leader")]
     while True:
-        labelled = materialize(rest.mapInPandas(match(names, known), f"key {kind}, vec array<double>, leader {kind}"))
+        labelled = materialize(rest.mapInPandas(match(names, known), f"key {kind}, vec binary, leader {kind}"))
         done.append(labelled.where("leader is not null").select("key", "leader"))
         rest = labelled.where("leader is null").select("key", "vec")
         head = rest.orderBy("key").limit(chunk).toPandas()
         if not len(head) or (most is not None and n >= most):
             done.append(rest.selectExpr("key", "key as leader"))
             break
-        found = unit(np.stack(head["vec"].to_numpy()))
+        found = unit(stack(head["vec"]))
         new: list[int] = []
         for i in range(len(found)):
             if most is not None and n + len(new) >= most:
@@ -66,3 +74,21 @@ def first_fit(vectors: DataFrame, threshold: float, most: int | None = 512, chun
     for part in done[1:]:
         out = out.unionByName(part)
     return out
+
+
+def first_fit_pairs(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``key, leader`` of greedy first fit in order of keys where the similar pairs (a < b) are known: each key joins the first leader it resembles.
+
+    Round by round every key without an undecided smaller neighbour is settled: it joins its smallest leader, or leads. Chains of undecided
+    keys get shorter by one at least; on names a few rounds do.
+    """
+    both = materialize(pairs.select("a", "b").distinct())
+    state = materialize(nodes.select("key").distinct().select("key", F.lit(None).cast(nodes.schema["key"].dataType).alias("leader")))
+    while True:
+        lower = both.join(state.select(F.col("key").alias("a"), F.col("leader").alias("la")), "a").groupBy(F.col("b").alias("key"))
+        seen = lower.agg(F.count_if(F.col("la").isNull()).alias("open"), F.min(F.when(F.col("la") == F.col("a"), F.col("a"))).alias("first"))
+        ready = state.join(seen, "key", "left")
+        new = F.when(F.col("leader").isNotNull(), F.col("leader")).when(F.coalesce("open", F.lit(0)) == 0, F.coalesce("first", "key"))
+        state = materialize(ready.select("key", new.alias("leader")))
+        if state.where("leader is null").isEmpty():
+            return state

@@ -20,6 +20,41 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"))).distinct()
 
 
+def claim_edges(edges: DataFrame, claims: DataFrame, rels: list[str], video_id: str | None = None) -> DataFrame:
+    """Edges (src, dst) of the given relations between committed claims, of one video where ``video_id`` is given."""
+    ok = claims.where("status = 'committed'")
+    ok = (ok if video_id is None else ok.where(F.substring_index("moment_id", "#", 1) == video_id)).select("claim_id").distinct()
+    e = edges.where(F.col("rel").isin(rels) & (F.col("src") != F.col("dst"))).select("src", "dst").distinct()
+    return e.join(ok.withColumnRenamed("claim_id", "src"), "src", "left_semi").join(ok.withColumnRenamed("claim_id", "dst"), "dst", "left_semi")
+
+
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that only one of two graphs has, with ``side`` ('left' or 'right'); empty for equal ones."""
+    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def history(chain: DataFrame, seeds: DataFrame, node: str = "claim_id", to: str = "superseded_by") -> DataFrame:
+    """``seed, node, step``: every version before (negative steps) and after a seed, the seed itself at 0; a cycle is gone around once."""
+    links = chain.select(F.col(node).alias("n"), F.col(to).alias("t")).where("n is not null and t is not null and n <> t").distinct()
+    known = materialize(seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct().withColumn("node", F.col("seed")).withColumn("step", F.lit(0)))
+    for sign, near, far in ((1, "n", "t"), (-1, "t", "n")):
+        frontier, step = known.where("step = 0"), 0
+        while True:
+            step += sign
+            reached = frontier.join(links.select(F.col(near).alias("node"), F.col(far).alias("next")), "node").select("seed", F.col("next").alias("node")).distinct()
+            frontier = materialize(reached.join(known.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("step", F.lit(step)))
+            if frontier.isEmpty():
+                break
+            known = known.unionByName(frontier)
+    return known
+
+
+def with_singletons(nodes: DataFrame, groups: DataFrame, key: str = "claim_id") -> DataFrame:
+    """``node, group`` of every node: a node without links is its own group."""
+    every = nodes.select(F.col(key).alias("node")).distinct()
+    return every.join(groups.select("node", "group"), "node", "left").select("node", F.coalesce("group", "node").alias("group"))
+
+
 def expand(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """``seed, node, hop`` of every node within ``hops`` of a seed, its first hop only; the seed itself is left out.
 

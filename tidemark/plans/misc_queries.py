@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.functions import vectors as V
 from tidemark.operators import retrieval as R
 from tidemark.operators.names import fuzzy_names
 from tidemark.plans import sqltext as Q
 from tidemark.plans.retrieval_queries import _BASE, corpus, questions
 from tidemark.plans.text_queries import once
-from tidemark.session import shuffle_partitions, table
+from tidemark.session import table
 
 LABEL = r"^(?:>> |- )?(?:<v ([^>]+)>|\[([A-Z][A-Za-z]+ [A-Z][A-Za-z]+)\]|([A-Z][A-Za-z.]*(?: [A-Z][A-Za-z]+)?):)"
 
@@ -53,27 +52,24 @@ def id_set_append(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_prefilter(spark: SparkSession, d: str) -> DataFrame:
-    """Dense search among the moments with a term that starts with a term of the question, of whatever length; the SQL below still needs 5 letters."""
+    """Dense search among the moments with a term that starts with a term of the question, of whatever length."""
     q, c = questions(spark, d), corpus(spark, d)
     terms = q.select("qid", F.explode(F.array_distinct(X.tokens(F.col("question")))).alias("q"))
     words = c.select("key", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("t"))
     prefix = words.select("t").distinct().select("t", F.explode(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.substring(F.col("t"), F.lit(1), i))).alias("q"))
     allowed = words.join(prefix.join(terms, "q").select("t", "qid").distinct(), "t").select("qid", "key").distinct()
-    six = R.dense(q, c).withColumn("score", X.six(F.col("score")))
-    return R.ranked(six.join(allowed, ["qid", "key"], "left_semi"), 10).select("qid", F.col("key").alias("moment_id"), "score")
+    return R.ranked(R.pair_cosines(allowed, q, R.build_index(c)), 10).select("qid", F.col("key").alias("moment_id"), "score")
 
 
 def vector_topk_scoped(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar embeddings of the same label for the questions (ids divisible by 100)."""
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
-    blocks = shuffle_partitions(spark)
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"), "label").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = e.withColumn("block", F.pmod(F.hash("vec_id"), F.lit(blocks))).join(q, ["label", "block"]).where("vec_id <> qid")
-    return R.ranked(pairs.select("qid", F.col("vec_id").alias("key"), X.six(V.cosine(F.col("qv"), F.col("v"))).alias("score")), 5).select("qid", F.col("key").alias("vec_id"), "score")
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("string").alias("video_id"))
+    near = R.vector_search(e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "qid"), e.withColumnRenamed("vec_id", "key"), 6).where("key <> qid").drop("rank")
+    return R.ranked(near, 5).select("qid", F.col("key").alias("vec_id"), "score")
 
 
 def speaker_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    """Speaker names of the cues, each with the smallest name that slips link it to."""
+    """Speaker names of the cues, each with its group's first name: greedy first fit by a ratio of 0.9."""
     s = table(spark, d, "segments").where("speaker is not null").select(F.lower(F.trim(F.regexp_replace("speaker", r"[>:]+|\([a-z]+\)", " "))).alias("name"))
     return fuzzy_names(s, "name")
 
@@ -87,7 +83,7 @@ SQL = {
     "like_fallback": f"select moment_id from {Q.unique('moments', 'moment_id', 'transcript')} where contains(lower(transcript), 'trellis')",
     "video_scope": f"select split_part(moment_id, '#', 1) as scope, count(*) as n from {Q.unique('claims', 'claim_id', 'moment_id')} group by 1",
     "id_set_append": "select channel, string_agg(video_id, ',' order by video_id) as ids from (select distinct coalesce(channel, '-') as channel, video_id from videos) group by 1",
-    "lexical_prefilter": f"""with {_BASE}, al as (select distinct qid, mid from (select qid, qterm from qt where length(qterm) >= 5) join (select distinct mid, t from dt where length(t) >= 5) on starts_with(t, qterm))
+    "lexical_prefilter": f"""with {_BASE}, al as (select distinct qid, mid from qt join (select distinct mid, t from dt) on starts_with(t, qterm))
 select qid, mid as moment_id, score from (select *, row_number() over (partition by qid order by score desc, mid) r from de join al using (qid, mid)) where r <= 10""",
     "vector_topk_scoped": f"""with e as (select vec_id, embedding::double[] v, label from embeddings), s as (select q.vec_id qid, e.vec_id, {Q.six('list_cosine_similarity(q.v, e.v)')} score from e join e q on q.vec_id % 100 = 0 and q.vec_id <> e.vec_id and q.label = e.label)
 select qid, vec_id, score from (select *, row_number() over (partition by qid order by score desc, vec_id) r from s) where r <= 5""",

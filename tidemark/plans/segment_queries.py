@@ -8,10 +8,11 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import text as X
 from tidemark.functions import vectors as V
+from tidemark.operators import claims as C
 from tidemark.operators import segmentation as S
 from tidemark.operators import visual as I
 from tidemark.plans import sqltext as Q
-from tidemark.plans.text_queries import COMMON_CAPS, once
+from tidemark.plans.text_queries import once
 from tidemark.session import table
 
 ms = lambda c: F.floor(F.col(c) * 1000 + 0.5) if isinstance(c, str) else F.floor(c * 1000 + 0.5)
@@ -94,17 +95,16 @@ def elaborates_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corrects_asof(spark: SparkSession, d: str) -> DataFrame:
-    """Every correction and the nearest earlier claim of its video that shares a content token of the subject or a mention.
-
-    The SQL below still has the subject alone.
-    """
-    names = F.array_union(F.array_union(*(X.mentions(F.coalesce(c, F.lit("")), COMMON_CAPS) for c in ("text", "subject"))), X.mentions(F.coalesce("obj", F.lit("")), COMMON_CAPS))
+    """Every correction and the nearest earlier claim of its video that shares a content token of the subject or a mention."""
+    names = X.mentions_of(*map(F.col, ("text", "subject", "obj")))
     tagged = lambda tag, x: F.transform(F.coalesce(x, F.array().cast("array<string>")), lambda t: F.concat(F.lit(tag), t))
     keys = F.array_union(tagged("subject:", X.content_tokens(F.col("subject"))), tagged("mention:", names))
-    rows = _committed(spark, d, "obj").where("video_id is not null").select("claim_id", "video_id", F.upper(F.trim("claim_type")).alias("kind"), F.explode(keys).alias("t"))
-    # The claim before in order of ids is the latest with the same key.
-    before = F.lag("claim_id").over(Window.partitionBy("video_id", "t").orderBy("claim_id"))
-    return rows.withColumn("dst", before).where("kind = 'CORRECTION' and dst is not null").groupBy(F.col("claim_id").alias("src")).agg(F.max("dst").alias("dst"))
+    has_time = "t_start_s" in table(spark, d, "claims").columns
+    at = F.when(F.isnan("t_start_s") | (F.abs("t_start_s") > 1e7), 0.0).otherwise(F.coalesce("t_start_s", F.lit(0.0))) if has_time else F.lit(0.0)
+    rows = _committed(spark, d, "obj", at.alias("at")).where("video_id is not null").select("claim_id", "video_id", "at", F.upper(F.trim("claim_type")).alias("kind"), F.explode(keys).alias("t"))
+    # The claim before in order of time is the latest with the same key.
+    before = F.lag(F.struct("at", "claim_id")).over(Window.partitionBy("video_id", "t").orderBy("at", "claim_id"))
+    return rows.withColumn("dst", before).where("kind = 'CORRECTION' and dst is not null").groupBy(F.col("claim_id").alias("src")).agg(F.max("dst")["claim_id"].alias("dst"))
 
 
 def _spans(spark: SparkSession, d: str, name: str, key: str, start: str, end: str, a: str) -> DataFrame:
@@ -129,14 +129,12 @@ def clip_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def locate_span(spark: SparkSession, d: str) -> DataFrame:
-    """Every claim's best segment among those its moment overlaps: the greatest token coverage of at least a quarter, first in time among equals."""
-    c = once(table(spark, d, "claims").where("text is not null and moment_id is not null").select("claim_id", "moment_id", F.array_distinct(X.tokens(F.col("text"))).alias("ct")), "claim_id")
-    m = _spans(spark, d, "moments", "moment_id", "t_start_s", "t_end_s", "a")
+    """Every claim's best segment among those its moment overlaps: the greatest token coverage of at least a half, first in time among equals."""
+    c = once(table(spark, d, "claims").where("text is not null and moment_id is not null").select("claim_id", "moment_id", "text"), "claim_id")
+    m = _spans(spark, d, "moments", "moment_id", "t_start_s", "t_end_s", "a").withColumnRenamed("a_id", "moment_id")
     seg = table(spark, d, "segments")
-    s = once(seg.where(S.finite_span(seg, "start_s", "end_s") & F.col("video_id").isNotNull() & F.col("text").isNotNull()).select("video_id", F.col("seg_id").alias("b_id"), F.col("start_s").alias("b0"), F.col("end_s").alias("b1"), F.array_distinct(X.tokens(F.col("text"))).alias("st")), "b_id")
-    pairs = S.overlap_join(m, s, 60.0).select(F.col("a_id").alias("moment_id"), "b_id", "b0", "st").join(c, "moment_id")
-    shared = F.size(F.array_intersect("st", "ct"))
-    return pairs.where(4 * shared >= F.size("ct")).where(F.size("ct") > 0).groupBy("claim_id").agg(F.min_by("b_id", F.struct(-shared, "b0", "b_id")).alias("seg_id"), F.max(shared).cast("bigint").alias("shared"))
+    cues = once(seg.where(S.finite_span(seg, "start_s", "end_s") & F.col("video_id").isNotNull() & F.col("text").isNotNull()).select("video_id", "seg_id", F.col("start_s").alias("b0"), F.col("end_s").alias("b1"), "text"), "seg_id")
+    return C.locate(c.join(m, "moment_id"), cues).select("claim_id", "seg_id", "shared")
 
 
 def event_ends(spark: SparkSession, d: str) -> DataFrame:
@@ -224,15 +222,17 @@ select seg_id, who, sum(c) over (partition by video_id order by t0, seg_id)::big
     "precedes_edges": f"select src, dst from (select moment_id as src, lead(moment_id) over (partition by video_id order by idx, moment_id) as dst from {Q.unique('moments', 'moment_id', 'video_id idx')} where video_id is not null and idx is not null) where dst is not null",
     "elaborates_edges": f"""select src, dst from (select claim_id as src, lead(claim_id) over w as dst, speaker_id, lead(speaker_id) over w who from {Q.unique('claims', 'claim_id', 'moment_id speaker_id status')} where status = 'committed' and moment_id is not null
  window w as (partition by moment_id order by claim_id)) where dst is not null and speaker_id is not distinct from who""",
-    "corrects_asof": f"""with r as (select claim_id, video_id, upper(trim(claim_type)) kind, unnest({Q.content_tokens('subject')}) t from {Q.unique('claims', 'claim_id', 'video_id claim_type subject status')} where status = 'committed' and video_id is not null)
- select a.claim_id as src, max(b.claim_id) as dst from r a join r b on a.video_id = b.video_id and a.t = b.t and b.claim_id < a.claim_id where a.kind = 'CORRECTION' group by 1""",
+    "corrects_asof": f"""with r as (select claim_id, video_id, upper(trim(claim_type)) kind, case when isnan(t_start_s) or abs(t_start_s) > 1e7 then 0 else coalesce(t_start_s, 0) end ct,
+ unnest(list_distinct(list_concat(list_transform({Q.content_tokens('subject')}, lambda x: 'subject:' || x), list_transform(list_concat({Q.mentions('text')}, {Q.mentions('subject')}, {Q.mentions('obj')}), lambda x: 'mention:' || x)))) t
+ from {Q.unique('claims', 'claim_id', 'video_id claim_type subject text obj status t_start_s')} where status = 'committed' and video_id is not null)
+ select a.claim_id as src, arg_max(b.claim_id, (b.ct, b.claim_id)) as dst from r a join r b on a.video_id = b.video_id and a.t = b.t and (b.ct, b.claim_id) < (a.ct, a.claim_id) where a.kind = 'CORRECTION' group by 1""",
     "visual_overlap_join": f"select moment_id, event_id from {_MOM} m join {_span_sql('visual_events', 'event_id', 't_start_s', 't_end_s')} v on m.video_id = v.video_id and m.s <= v.e and m.e >= v.s",
     "claim_segments": f"select claim_id, count(*) as n_segments, min(seg_id) as least_seg from {_span_sql('claims', 'claim_id', 't_start_s', 't_end_s')} c join {_span_sql('segments', 'seg_id', 'start_s', 'end_s')} g on c.video_id = g.video_id and c.s < g.e and c.e > g.s group by 1",
     "clip_window": f"select video_id, moment_id from {_MOM} where s <= 120 and e >= 60",
     "locate_span": f"""with c as (select claim_id, moment_id, list_distinct({Q.tokens('text')}) ct from {Q.unique('claims', 'claim_id', 'moment_id text')} where text is not null and moment_id is not null),
 g as (select seg_id, video_id, s, e, list_distinct({Q.tokens('text')}) st from {_span_sql('segments', 'seg_id', 'start_s', 'end_s', ', any_value(text) text', ' and text is not null')}),
 p as (select claim_id, seg_id, g.s, len(list_intersect(st, ct)) n, len(ct) k from c join {_MOM} m using (moment_id) join g on g.video_id = m.video_id and m.s <= g.e and m.e >= g.s)
-select claim_id, arg_min(seg_id, (-n, s, seg_id)) as seg_id, max(n)::bigint as shared from p where 4 * n >= k and k > 0 group by 1""",
+select claim_id, arg_min(seg_id, (-n, s, seg_id)) as seg_id, max(n)::bigint as shared from p where 2 * n >= k and n > 0 group by 1""",
     "event_ends": f"with {_FR} select event_id, {_MS('coalesce(lead(t) over (partition by video_id order by t, event_id), t)')} as end_ms from fr",
     "scene_cuts": f"""with {_FR}, l as (select *, lag(v) over (partition by video_id order by t, event_id) b from fr)
 select event_id, sum(case when b is not null and {_DIST('b', 'v')} > 0.3 then 1 else 0 end) over (partition by video_id order by t, event_id)::bigint as scene from l""",

@@ -66,8 +66,8 @@ def video_site_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def deep_links(spark: SparkSession, d: str) -> DataFrame:
     v = _urls(table(spark, d, "videos").select("video_id", "source_url").distinct())
-    m = once(table(spark, d, "moments").select("moment_id", "video_id", "t_start_s"), "moment_id").where(~F.isnan("t_start_s") & (F.abs("t_start_s") < 1e9))
-    return m.join(v, "video_id").select("moment_id", X.deep_link(F.col("url"), F.col("t_start_s")).alias("link"))
+    m = once(table(spark, d, "moments").select("moment_id", "video_id", "t_start_s", "t_end_s"), "moment_id").where(~F.isnan("t_start_s") & (F.abs("t_start_s") < 1e9))
+    return m.join(v, "video_id").select("moment_id", X.deep_link(F.col("url"), F.col("t_start_s")).alias("link"), X.ranged_link(F.col("url"), F.col("t_start_s"), F.col("t_end_s")).alias("range_link"))
 
 
 def hms_format(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +89,7 @@ def caption_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def event_extract(spark: SparkSession, d: str) -> DataFrame:
     s = once(table(spark, d, "segments").select("seg_id", "text"), "seg_id")
-    return s.select("seg_id", F.posexplode(X.events_in(F.col("text")))).select("seg_id", F.col("pos").cast("bigint").alias("pos"), F.lower("col").alias("event"))
+    return s.select("seg_id", F.posexplode(X.events_in(F.col("text")))).select("seg_id", F.col("pos").cast("bigint").alias("pos"), F.col("col").alias("event"))
 
 
 def claim_features(spark: SparkSession, d: str) -> DataFrame:
@@ -103,12 +103,10 @@ def spo_split(spark: SparkSession, d: str) -> DataFrame:
     return c.select("claim_id", s.alias("subj"), p.alias("pred"), o.alias("ob"))
 
 
-COMMON_CAPS = ["The", "A", "An", "Each", "Every", "Most", "Our", "That", "What", "One", "No", "Whoever", "Nearly", "Look", "Now", "And", "So", "Here", "Again", "Der", "Die", "Das", "Ein", "Kein", "Jeder", "Unser", "Le", "La", "Un", "Une", "El", "Los", "Cada"]
-
-
 def mentions_extract(spark: SparkSession, d: str) -> DataFrame:
-    c = once(table(spark, d, "claims").where("text is not null").select("claim_id", "text"), "claim_id")
-    return c.select("claim_id", F.explode(X.mentions(F.col("text"), COMMON_CAPS)).alias("mention")).distinct()
+    """Mentions of text, subject and object of every claim."""
+    c = once(table(spark, d, "claims").where("text is not null").select("claim_id", "text", "subject", "obj"), "claim_id")
+    return c.select("claim_id", F.explode(X.mentions_of(*map(F.col, ("text", "subject", "obj")))).alias("mention"))
 
 
 def qualifier_fields(spark: SparkSession, d: str) -> DataFrame:
@@ -131,17 +129,14 @@ def recency_weight(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (tokenize_counts, sentence_split, doc_freq, topic_label_top3, slug_ids, content_hash_ids, video_site_ids, deep_links, hms_format, published_dates, snippets, caption_clean, event_extract, claim_features, spo_split, mentions_extract, qualifier_fields, counts_by_status, recency_weight)}
 
-_M = Q.unique("moments", "moment_id", "video_id transcript topic_id t_start_s")
-_C = Q.unique("claims", "claim_id", "text status claim_type salience qualifiers")
+_M = Q.unique("moments", "moment_id", "video_id transcript topic_id t_start_s t_end_s")
+_C = Q.unique("claims", "claim_id", "text subject obj status claim_type salience qualifiers")
 _S = Q.unique("segments", "seg_id", "text")
 _URL = """(select distinct video_id, case k when 0 then 'https://www.youtube.com/watch?v=' || code when 1 then 'https://youtu.be/' || code when 2 then 'https://www.youtube.com/shorts/' || code || '?feature=share'
  when 3 then 'https://www.youtube.com/watch?app=desktop&v=' || code else source_url end url
  from (select video_id, source_url, substring(sha1(video_id), 1, 11) code, cast('0x' || substring(sha1(video_id), 1, 4) as bigint) % 5 k from videos))"""
-_KEY = r"nullif(regexp_extract(coalesce(url, ''), '(?:watch\?(?:[^#]*&)?v=|/embed/|/shorts/|/live/|/v/|youtu\.be/)([A-Za-z0-9_-]{6,})', 1), '')"
+_KEY = Q.site_key("url")
 _DAY = r"""case when regexp_matches(p, '^\d{8}$') then try_strptime(p, '%Y%m%d') when regexp_matches(p, '^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?$') then try_cast(try_cast(regexp_replace(p, '([+-]\d{2})(\d{2})$', '\1:\2') as timestamptz) at time zone 'UTC' as timestamp) end"""
-#: RE2's word bounds know ASCII only, so accented letters are turned into a word character first.
-_A = f"(select claim_id, regexp_replace(text, '[À-ÖØ-öø-ÿŒœ]', '_', 'g') as text from {_C} where text is not null)"
-_LEAD = "^(" + "|".join(COMMON_CAPS) + r")(\s+|$)"
 
 SQL = {
     "tokenize_counts": f"select doc_id, len({Q.tokens('text')})::bigint as n_tokens, len(list_distinct({Q.tokens('text')}))::bigint as n_distinct from documents",
@@ -153,20 +148,19 @@ SQL = {
     "content_hash_ids": """select distinct video_id, case when coalesce(content_hash, '') <> '' then 'vid:' || substring(content_hash, 1, 16) else 'vid:' || substring(sha1(coalesce(source_url, '')), 1, 16) end as made_id,
  sha1(coalesce(source_url, '')) as url_sha1, sha256(coalesce(source_url, '')) as url_sha256, substring(md5(coalesce(source_url, '')), 1, 8) as short from videos""",
     "video_site_ids": f"select video_id, url, coalesce('yt:' || {_KEY}, '-') as site_id from {_URL}",
-    "deep_links": f"""select moment_id, case when {_KEY} is not null then url || case when instr(url, '?') > 0 then '&' else '?' end || 't=' || floor(greatest(0, t_start_s))::bigint || 's' else url || '#t=' || floor(greatest(0, t_start_s))::bigint end as link
- from {_M} join {_URL} using (video_id) where not isnan(t_start_s) and abs(t_start_s) < 1e9""",
+    "deep_links": f"""select moment_id, case when key is not null then 'https://youtu.be/' || key || '?t=' || t else url || case when instr(url, '?') > 0 then '&' else '#' end || 't=' || t end as link,
+ case when key is not null then 'https://www.youtube.com/watch?v=' || key || '&start=' || t || '&end=' || e else url || case when instr(url, '?') > 0 then '&' else '#' end || 't=' || t end as range_link
+ from (select *, {_KEY} key, trunc(t_start_s)::bigint t, case when isfinite(t_end_s) and abs(t_end_s) < 1e15 then trunc(t_end_s) else 0 end::bigint e from {_M} join {_URL} using (video_id) where not isnan(t_start_s) and abs(t_start_s) < 1e9)""",
     "hms_format": """select distinct seg_id, case when h > 0 then h || ':' || lpad(m::varchar, 2, '0') || ':' || lpad(x::varchar, 2, '0') else m || ':' || lpad(x::varchar, 2, '0') end as at
  from (select seg_id, s // 3600 h, (s // 60) % 60 m, s % 60 x from (select seg_id, greatest(0, floor(start_s)::bigint) s from segments where start_s is not null))""",
     "published_dates": f"select distinct video_id, strftime({_DAY}, '%Y-%m-%d') as published from (select video_id, trim(published_at) p from videos)",
     "snippets": f"select moment_id, case when length(s) > 240 then rtrim(substring(s, 1, 239), ' ') || '…' else s end as snippet from (select moment_id, trim(regexp_replace(coalesce(transcript, ''), '[\\r\\n]', ' ', 'g'), ' ') s from {_M})",
     "caption_clean": f"select seg_id, {Q.clean_caption('text')} as clean from {_S}",
-    "event_extract": f"""select seg_id, unnest(range(len(e)))::bigint as pos, lower(unnest(e)) as event from (select seg_id, regexp_extract_all({Q.unescape("coalesce(text, '')")}, '{X.EVENT}') e from {_S})""",
+    "event_extract": f"select seg_id, unnest(range(len(e)))::bigint as pos, unnest(e) as event from (select seg_id, {Q.events_in('text')} e from {_S})",
     "claim_features": f"select claim_id, {Q.epistemic_type('text')} as kind, {Q.six(Q.salience('text'))} as score, {Q.low_value('text')} as low_value, {Q.normalized('text')} as norm from {_C} where text is not null",
     "spo_split": f"""select claim_id, case when cue = '' then regexp_replace(trim(text), '[.!]+$', '') else trim(substring(text, 1, loc - 1)) end as subj, cue as pred, case when cue = '' then '' else regexp_replace(trim(substring(text, loc + length(cue) + 2)), '[.!]+$', '') end as ob
  from (select *, case when cue = '' then 0 else instr(lower(text), ' ' || cue || ' ') end loc from (select claim_id, text, {Q.predicate_of('text')} cue from {_C} where text is not null))""",
-    "mentions_extract": f"""select distinct claim_id, mention from (
- select claim_id, regexp_replace(unnest(regexp_extract_all(text, '\\b[A-Z][A-Z0-9]+(-[A-Z0-9]+)?s?\\b')), 's$', '') mention from {_A}
- union all select claim_id, regexp_replace(regexp_replace(unnest(regexp_extract_all(text, '\\b[A-Z][a-z]+(\\s+[A-Z][a-z]+)*\\b')), '{_LEAD}', ''), '\\s+', ' ', 'g') from {_A}) where mention <> ''""",
+    "mentions_extract": f"select distinct claim_id, unnest(list_concat({Q.mentions('text')}, {Q.mentions('subject')}, {Q.mentions('obj')})) as mention from {_C} where text is not null",
     "qualifier_fields": f"select claim_id, json_extract_string(qualifiers, '$.hedge') as hedge from {_C} where qualifiers is not null",
     "counts_by_status": f"select coalesce(status, '-') as status, count(*) as n, count(*) filter (where upper(trim(claim_type)) = 'FACT') as n_fact, count(salience) as n_scored from {_C} group by 1",
     "recency_weight": f"select video_id, {Q.six('pow(0.5::double, (max(day) over () - day) / 365.0::double)')} as weight from (select distinct video_id, ({_DAY})::date as day from (select video_id, trim(published_at) p from videos)) where day is not null",
