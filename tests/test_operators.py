@@ -331,3 +331,23 @@ def test_grounding():
     ok = ["The mill closed [1].", "It closed. [1] It opened again [2].", "Dr. Lee said 3.5 metres [1].", "One [1]\nTwo [2]."]
     bad = ["The mill closed.", "It closed [3].", "It closed [1]. It opened.", "One [1]\nTwo.", "", None, "It closed [1] and then"]
     assert all(R.grounded(t, 2) for t in ok) and not any(R.grounded(t, 2) for t in bad[:-1])
+
+
+def test_overlap_with_long_spans(spark):
+    rng = random.Random(21)
+    span = lambda: (s := rng.random() * 5000, s + rng.choice([1, 3, 30, 700, 90_000, 9e6]) * rng.random())
+    a = [("v", i, *span()) for i in range(120)]
+    b = [("v", i, *span()) for i in range(120)]
+    x = spark.createDataFrame(a, "video_id string, a_id long, a0 double, a1 double")
+    y = spark.createDataFrame(b, "video_id string, b_id long, b0 double, b1 double")
+    got = [(r.a_id, r.b_id) for r in S.overlap_join(x, y, 10.0).collect()]
+    assert sorted(got) == sorted((p[1], q[1]) for p in a for q in b if p[2] <= q[3] and p[3] >= q[2])
+    assert S.overlap_join(x.limit(0), y, 10.0).count() == 0
+
+
+def test_locate_narrows_to_words(spark):
+    claims = spark.createDataFrame([("c", "v", "The kiln melted forty lanterns", 0.0, 50.0), ("d", "v", "nothing of it", 0.0, 50.0)], "claim_id string, video_id string, text string, a0 double, a1 double")
+    cues = [("v", 1, 0.0, 9.0, "the kiln was old", None), ("v", 2, 10.0, 20.0, "well the kiln melted forty lanterns then", [(10.0, 11.0, "well"), (12.0, 13.0, "kiln"), (14.0, 16.5, "Lanterns,")]), ("v", 3, 60.0, 70.0, "the kiln melted forty lanterns", None)]
+    seg = spark.createDataFrame(cues, "video_id string, seg_id long, b0 double, b1 double, text string, words array<struct<t0:double,t1:double,word:string>>")
+    assert [tuple(r) for r in C.locate(claims, seg).collect()] == [("c", 2, 5, 12.0, 16.5)]
+    assert [(r.t_start_s, r.t_end_s) for r in C.locate(claims, seg.drop("words")).collect()] == [(10.0, 20.0)]

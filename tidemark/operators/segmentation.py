@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions import text as X
+
 GAP_S, MAX_S, MIN_S, SIMILAR = 2.5, 90.0, 8.0, 0.45
 
 
@@ -66,6 +68,40 @@ def speaker_islands(speech: DataFrame, events: DataFrame) -> DataFrame:
     return rows.withColumn("cut", cut).withColumn("part", F.sum("cut").over(order("t0", "seg_id")) - 1).drop("cut")
 
 
+def clean_segments(cues: DataFrame) -> DataFrame:
+    """Raw cues (video_id, pos, t0, t1, speaker, text) as speech and events with the speakers that persist: video_id, pos, t0, t1, kind, speaker, text.
+
+    A line with a music sign is an event. A named speaker (first spelling of a video) stays until the next; ``>>`` without a name opens an
+    anonymous turn spk_1, spk_2 and so on, or spk_0 where nobody has spoken before. Without any name or mark the speaker is null.
+    """
+    w = Window.partitionBy("video_id").orderBy("t0", "pos")
+    named = F.coalesce(F.nullif(X.strip(F.coalesce("speaker", F.lit(""))), F.lit("")), F.nullif(X.name_prefix(F.coalesce("text", F.lit(""))), F.lit("")))
+    rows = cues.withColumn("music", X.unescape(F.coalesce("text", F.lit(""))).rlike("[♪♫♬🎵🎶]")).withColumn("named", F.when(~F.col("music"), named))
+    spelling = F.first("named", ignorenulls=True).over(Window.partitionBy("video_id", F.lower("named")).orderBy("t0", "pos"))
+    rows = rows.withColumn("named", F.when(F.col("named").isNotNull(), spelling))
+    rows = rows.withColumn("anonymous", ~F.col("music") & F.col("named").isNull() & F.coalesce("text", F.lit("")).rlike(r"^\s*(?:>|&gt;){2,}"))
+    marker = F.when(F.col("named").isNotNull(), "named").when(F.col("anonymous"), "anonymous")
+    first = F.first(marker, ignorenulls=True).over(Window.partitionBy("video_id").orderBy("t0", "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    number = F.sum(F.col("anonymous").cast("int")).over(w) - F.when(first == "anonymous", 1).otherwise(0)
+    who = F.coalesce("named", F.when(F.col("anonymous"), F.concat(F.lit("spk_"), number.cast("string"))))
+    rows = rows.withColumn("who", F.last(who, ignorenulls=True).over(w))
+    known = F.collect_set(F.lower("named")).over(Window.partitionBy("video_id"))
+    rows = rows.withColumn("known", known)
+    speech = rows.where("not music").select("video_id", "pos", "t0", F.greatest("t0", "t1").alias("t1"), F.lit("speech").alias("kind"), F.col("who").alias("speaker"), X.clean_caption(F.col("text"), F.col("known")).alias("text")).where("text <> ''")
+    heard = F.when(F.col("music"), F.array(F.lit("music"))).otherwise(X.events_in(F.col("text")))
+    events = rows.select("video_id", "pos", "t0", F.col("t0").alias("t1"), F.lit("event").alias("kind"), F.lit(None).cast("string").alias("speaker"), F.explode(heard).alias("e"))
+    return speech.unionByName(events.withColumn("text", F.format_string("[%s]", "e")).drop("e"))
+
+
+def hashed_cosine(a: str, b: str) -> float:
+    """Cosine of the hashed vectors of two texts; 0 where one has none."""
+    from tidemark.operators.retrieval import TOKEN, _Grams
+
+    x, y = (_Grams().vector(TOKEN.findall(t.lower())).astype(float) for t in (a, b))
+    n = float((x @ x) * (y @ y)) ** 0.5
+    return float(x @ y) / n if n else 0.0
+
+
 def fold(rows: DataFrame, similarity: Callable[[str, str], float] | None = None, max_s: float = MAX_S) -> DataFrame:
     """All rules inside the islands: adds ``grp`` (per island from 0). ``similarity`` of two texts turns the subject rule on."""
 
@@ -108,17 +144,31 @@ def merge_small(groups: DataFrame, min_s: float = MIN_S) -> DataFrame:
 
 
 def overlap_join(left: DataFrame, right: DataFrame, bucket_s: float, strict: bool = False) -> DataFrame:
-    """Interval join of (video_id, a0, a1, ...) with (video_id, b0, b1, ...): an equi-join on video and time bucket, each pair once.
+    """Interval join of (video_id, a0, a1, ...) with (video_id, b0, b1, ...): an equi-join on video, level and time bucket, each pair once.
 
-    Both sides are spread over the buckets they touch, so that one long video has many join keys; the pair is kept in the
-    bucket of the later start. ``strict``: touching intervals don't overlap.
+    A span lies on the lowest level, whose buckets grow by 16 from one to the next, on which it touches two buckets at most, so that a long
+    span is two rows and not thousands. Each side is also placed on the higher levels that spans of the other side are on (a count of
+    levels, six numbers at most, tells which: usually none). ``strict``: touching intervals don't overlap.
     """
-    bucket = lambda a, b: F.explode(F.sequence(F.floor(a / bucket_s), F.floor(b / bucket_s)))
-    x = left.withColumn("bucket", bucket(F.col("a0"), F.col("a1")))
-    y = right.withColumn("bucket", bucket(F.col("b0"), F.col("b1")))
+    top_level = 5
+    width = lambda k: bucket_s * 16.0**k
+    own = lambda a, b: F.coalesce(*[F.when(F.floor(F.col(b) / width(k)) - F.floor(F.col(a) / width(k)) <= 1, k) for k in range(top_level)], F.lit(top_level))
+    x, y = left.withColumn("_la", own("a0", "a1")), right.withColumn("_lb", own("b0", "b1"))
+    on_x, on_y = ([r[0] for r in df.select(c).distinct().collect()] for df, c in ((x, "_la"), (y, "_lb")))
+
+    def placed(df: DataFrame, a: str, b: str, level: str, others: list[int]) -> DataFrame:
+        def cells(k: int) -> Column:
+            here = F.transform(F.sequence(F.floor(F.col(a) / width(k)), F.floor(F.col(b) / width(k))), lambda c: F.struct(F.lit(k).alias("k"), c.alias("c")))
+            wanted = (F.col(level) == k) | ((F.col(level) < k) & F.lit(k in others))
+            return F.when(wanted, here).otherwise(F.array().cast("array<struct<k:int,c:bigint>>"))
+
+        return df.withColumn("cell", F.explode(F.concat(*[cells(k) for k in sorted({*on_x, *on_y}) or [0]])))
+
     meet = (F.col("a0") < F.col("b1")) & (F.col("a1") > F.col("b0")) if strict else (F.col("a0") <= F.col("b1")) & (F.col("a1") >= F.col("b0"))
-    pairs = x.join(y, ["video_id", "bucket"]).where(meet & (F.col("bucket") == F.floor(F.greatest("a0", "b0") / bucket_s)))
-    return pairs.drop("bucket")
+    top = F.greatest("_la", "_lb")
+    later = F.coalesce(*[F.when(top == k, F.floor(F.greatest("a0", "b0") / width(k))) for k in range(top_level + 1)])
+    pairs = placed(x, "a0", "a1", "_la", on_y).join(placed(y, "b0", "b1", "_lb", on_x), ["video_id", "cell"])
+    return pairs.where(meet & (F.col("cell.k") == top) & (F.col("cell.c") == later)).drop("cell", "_la", "_lb")
 
 
 def finite_span(df: DataFrame, start: str, end: str) -> Column:
