@@ -77,19 +77,24 @@ def own_premise(claims: DataFrame, cues: DataFrame) -> DataFrame:
     return rows.withColumn("premise", F.when(F.col("own") != "", F.col("own")).otherwise(F.col("transcript"))).drop("own", "cues")
 
 
-def gate(claims: DataFrame, salience_floor: float | None = None) -> DataFrame:
+def gate(claims: DataFrame, salience_floor: float | None = None, judge=None) -> DataFrame:
     """Status of claims with a ``premise`` and a ``transcript``: the premise is widened to the transcript where it doesn't cover a contiguous claim.
 
     Entailed claims are committed, all others unsupported; so are claims of low value, fragments of a punctuated transcript, and, where
-    ``salience_floor`` is given, claims with less ``salience``. None is dropped.
+    ``salience_floor`` is given, claims with less ``salience``. None is dropped. ``judge``: a function that adds ``label`` and ``overlap`` to rows
+    with ``premise`` and ``text``, in place of the lexical entailment.
     """
     # The cheap containment comes first.
     widen = ~covers(F.col("premise"), F.col("text")) & contiguous(F.col("text"), F.col("transcript"))
-    r = nli(F.when(widen, F.col("transcript")).otherwise(F.col("premise")), F.col("text"))
+    premise = F.when(widen, F.col("transcript")).otherwise(F.col("premise"))
+    if judge is None:
+        claims = claims.withColumn("r", nli(premise, F.col("text")))
+    else:
+        claims = judge(claims.withColumn("premise", premise)).withColumn("r", F.struct("label", "overlap")).drop("label", "overlap")
     good = (F.col("r.label") == "entailment") & ~X.low_value(F.col("text")) & ~(X.punctuated(F.col("transcript")) & X.fragment(F.col("text")))
     if salience_floor is not None:
         good = good & (F.coalesce("salience", F.lit(0.0)) >= salience_floor)
-    return claims.withColumn("r", r).withColumn("status", F.when(good, "committed").otherwise("unsupported")).withColumn("entailment", F.when(F.col("r.label") == "contradiction", 1 - F.col("r.overlap")).otherwise(F.col("r.overlap"))).drop("r")
+    return claims.withColumn("status", F.when(good, "committed").otherwise("unsupported")).withColumn("entailment", F.when(F.col("r.label") == "contradiction", 1 - F.col("r.overlap")).otherwise(F.col("r.overlap"))).drop("r")
 
 
 def locate(claims: DataFrame, cues: DataFrame, floor: float = 0.5) -> DataFrame:

@@ -28,10 +28,12 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir`` of the session, else a folder of our own (tests only)."""
+    """Folder all executors share: ``spark.checkpoint.dir`` of the session, else, on a local master alone, a folder of our own."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(known)
