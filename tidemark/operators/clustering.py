@@ -19,15 +19,17 @@ from tidemark.session import materialize
 
 
 def first_fit(vectors: DataFrame, threshold: float, most: int | None = 512, chunk: int = 4096) -> DataFrame:
-    """``key, leader`` for (key, vec array<double>): the first representative in order of creation within the threshold, else itself.
+    """``key, leader`` for (key, vec array<double>, or bytes of doubles): the first representative in order of creation within the threshold, else itself.
 
     Keys are unique; a zero vector leads itself. Beyond ``most`` representatives an unmatched vector leads itself; None: no bound.
     """
     kind = vectors.schema["key"].dataType.simpleString()
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Vectors as bytes of doubles, once for all rounds; a zero vector leads itself."""
         for pdf in batches:
-            yield pd.DataFrame({"key": pdf["key"], "vec": [np.asarray(v, np.float64).tobytes() for v in pdf["vec"]]})
+            vecs = [np.asarray(v, np.float64) if not isinstance(v, (bytes, bytearray)) else np.frombuffer(v, np.float64) for v in pdf["vec"]]
+            yield pd.DataFrame({"key": pdf["key"], "vec": [v.tobytes() for v in vecs], "zero": [not v.any() for v in vecs]})
 
     def stack(vecs: pd.Series) -> np.ndarray:
         return np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1)
@@ -51,9 +53,9 @@ def first_fit(vectors: DataFrame, threshold: float, most: int | None = 512, chun
 
         return run
 
-    zero = F.forall("vec", lambda x: x == 0)
-    rest = vectors.where(~zero).select("key", "vec").mapInPandas(pack, f"key {kind}, vec binary")  # packed once for all rounds
-    done: list[DataFrame] = [vectors.where(zero).selectExpr("key", "key as leader")]
+    packed = materialize(vectors.select("key", "vec").mapInPandas(pack, f"key {kind}, vec binary, zero boolean"))
+    rest = packed.where("not zero").select("key", "vec")
+    done: list[DataFrame] = [packed.where("zero").selectExpr("key", "key as leader")]
     while True:
         labelled = materialize(rest.mapInPandas(match(names, known), f"key {kind}, vec binary, leader {kind}"))
         done.append(labelled.where("leader is not null").select("key", "leader"))

@@ -1,8 +1,8 @@
 """Grouping of timed speech segments into moments: gaps and islands, and the ordered fold where a rule needs the group's start.
 
 Rules in order of priority: another speaker than the group's, a gap over 2.5 s, a group of 90 s or more, an audio event in
-the gap, and (optionally) a change of subject after at least 8 s. Gaps and events alone cut a video into islands by windows;
-everything that depends on the group's state is folded inside one island, so that no task has to hold a whole video.
+the gap, and (optionally) a change of subject after at least 8 s. Gaps and events alone cut a video into islands by windows over
+chunks of time (see ``ordered``); everything that depends on the group's state is folded inside one island, so that no task has to hold a whole video.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as X
+from tidemark.operators.ordered import Ordered
+from tidemark.session import materialize
 
 GAP_S, MAX_S, MIN_S, SIMILAR = 2.5, 90.0, 8.0, 0.45
 
@@ -37,35 +39,61 @@ def audio_events(segments: DataFrame) -> DataFrame:
     return segments.where(ok).select("video_id", F.col("start_s").alias("at")).distinct()
 
 
+def _in_time(speech: DataFrame) -> Ordered:
+    return Ordered(speech, "video_id", ["t0", "seg_id"])
+
+
 def with_gaps(speech: DataFrame) -> DataFrame:
     """The previous segment's end (``before``), in order of t0, seg_id."""
-    return speech.withColumn("before", F.lag("t1").over(order("t0", "seg_id")))
+    return _in_time(speech).lag("before", F.col("t1")).rows()
 
 
 def event_in_gap(speech: DataFrame, events: DataFrame) -> DataFrame:
-    """``with_gaps`` plus ``heard``: whether an event lies in the closed gap before the segment (as-of: the last event up to t0)."""
-    gaps = with_gaps(speech)
-    marks = gaps.select("video_id", F.col("t0").alias("t"), F.lit(None).cast("double").alias("at"), F.struct(*gaps.columns).alias("row"))
-    hits = events.select("video_id", F.col("at").alias("t"), "at", F.lit(None).cast(marks.schema["row"].dataType).alias("row"))
-    w = Window.partitionBy("video_id").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    both = marks.unionByName(hits).withColumn("last", F.max("at").over(w)).where("row is not null")
-    return both.select("row.*", F.coalesce(F.col("last") >= F.col("row.before"), F.lit(False)).alias("heard"))
+    """``with_gaps`` plus ``heard``: whether an event lies in the closed gap before the segment (as-of: the last event up to t0).
+
+    Speech and events are one ordered sequence, events first at the same time, so that one pass carries both the last end and the last event.
+    """
+    talk = speech.withColumn("at", F.lit(None).cast("double"))
+    marks = events.where(F.abs("at") < float("inf")).select("video_id", F.col("at").alias("t0"), "at")
+    both = Ordered(talk.unionByName(marks, allowMissingColumns=True).withColumn("talks", F.col("at").isNull()), "video_id", ["t0", "talks", "seg_id"])
+    inside, among = both._inside(), both._among().rowsBetween(Window.unboundedPreceding, -1)
+    end = F.when(F.col("talks"), F.struct(F.col("t1").alias("v")))
+    both.with_carried(
+        {"_end": F.max_by(end, F.when(F.col("talks"), F.struct("t0", "seg_id"))), "_at": F.max("at")},
+        {"_before": F.last("_end", ignorenulls=True).over(among), "_heard": F.max("_at").over(among)},
+        {"before": F.coalesce(F.last(end, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_before"))["v"], "last": F.greatest(F.max("at").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_heard"))},
+    )
+    return both.where("talks").rows().select(*speech.columns, "before", F.coalesce(F.col("last") >= F.col("before"), F.lit(False)).alias("heard"))
+
+
+def _islands(speech: DataFrame, events: DataFrame) -> Ordered:
+    """Islands with ``cut``, 1 where one begins, and ``prior``, the island and name of the last named speaker before each row."""
+    cut = F.when(F.col("before").isNull() | (F.col("t0") - F.col("before") > GAP_S) | F.col("heard"), 1).otherwise(0)
+    rows = _in_time(materialize(event_in_gap(speech, events).withColumn("cut", cut)))
+    inside = rows._inside()
+    rows.with_column("local", F.sum("cut").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    named = F.when(F.col("speaker").isNotNull(), F.struct("local", "speaker"))
+    among = rows._among().rowsBetween(Window.unboundedPreceding, -1)
+    far = F.when(F.col("_named").isNotNull(), F.struct((F.col("_named.local") + F.col("_offset")).alias("local"), F.col("_named.speaker").alias("speaker")))
+    rows.with_carried(
+        {"_cuts": F.sum("cut"), "_named": F.max_by(named, F.when(F.col("speaker").isNotNull(), F.struct("t0", "seg_id")))},
+        {"_offset": F.coalesce(F.sum("_cuts").over(among), F.lit(0)), "_far": F.last(far, ignorenulls=True).over(among)},
+        {"near": F.last(named, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)), "island": F.col("local") + F.col("_offset"), "prior": F.coalesce(F.when(F.col("near").isNotNull(), F.struct((F.col("near.local") + F.col("_offset")).alias("local"), F.col("near.speaker").alias("speaker"))), F.col("_far"))},
+    )
+    return rows
 
 
 def islands(speech: DataFrame, events: DataFrame) -> DataFrame:
     """Islands between gaps over 2.5 s and events: adds ``island`` (per video from 0)."""
-    cut = F.when(F.col("before").isNull() | (F.col("t0") - F.col("before") > GAP_S) | F.col("heard"), 1).otherwise(0)
-    return event_in_gap(speech, events).withColumn("cut", cut).withColumn("island", F.sum("cut").over(order("t0", "seg_id")) - 1).drop("cut")
+    return _islands(speech, events).with_column("island", F.col("island") - 1).rows("cut", "local", "near", "prior")
 
 
 def speaker_islands(speech: DataFrame, events: DataFrame) -> DataFrame:
     """Islands cut further where a named speaker follows another: adds ``part`` (per video from 0)."""
-    rows = islands(speech, events)
-    w = Window.partitionBy("video_id", "island").orderBy("t0", "seg_id")
-    known = F.last("speaker", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    first = F.row_number().over(w) == 1
-    cut = F.when(first | (F.col("speaker") != known), 1).otherwise(0)
-    return rows.withColumn("cut", cut).withColumn("part", F.sum("cut").over(order("t0", "seg_id")) - 1).drop("cut")
+    rows = _islands(speech, events)
+    other = F.coalesce((F.col("prior.local") == F.col("island")) & (F.col("speaker") != F.col("prior.speaker")), F.lit(False))
+    rows.with_column("cut", F.when((F.col("cut") == 1) | other, 1).otherwise(0)).running_sum("part", F.col("cut"))
+    return rows.with_column("part", F.col("part") - 1).with_column("island", F.col("island") - 1).rows("cut", "local", "near", "prior")
 
 
 def clean_segments(cues: DataFrame) -> DataFrame:

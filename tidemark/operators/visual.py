@@ -6,9 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions.vectors import frame_distance, usable, variance
+from tidemark.operators.ordered import Ordered
 
 CUT, GAIN, PER_SCENE = 0.3, 0.12, 8
 
@@ -21,10 +21,9 @@ def frames(events: DataFrame, dim: int = 64) -> DataFrame:
 
 def scene_cuts(f: DataFrame, cut: float = CUT) -> DataFrame:
     """``scene``: the number of preceding frames of the video whose mean absolute difference to their predecessor is above ``cut``."""
-    w = Window.partitionBy("video_id").orderBy("t_start_s", "event_id")
-    before = F.lag("embedding").over(w)
-    new = F.when(before.isNotNull() & (frame_distance(before, F.col("embedding")) > cut), 1).otherwise(0)
-    return f.withColumn("new", new).withColumn("scene", F.sum("new").over(w)).drop("new")
+    rows = Ordered(f, "video_id", ["t_start_s", "event_id"]).lag("before", F.col("embedding"))
+    new = F.when(F.col("before").isNotNull() & (frame_distance(F.col("before"), F.col("embedding")) > cut), 1).otherwise(0)
+    return rows.with_column("new", new).running_sum("scene", F.col("new")).rows("new", "before")
 
 
 def keyframes(scenes: DataFrame, gain: float = GAIN, cap: int = PER_SCENE) -> DataFrame:

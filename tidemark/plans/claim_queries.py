@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import fixed as W
 from tidemark.functions import text as X
-from tidemark.functions import vectors as V
 from tidemark.operators import claims as C
 from tidemark.operators import graph as G
+from tidemark.operators import retrieval as R
 from tidemark.operators import segmentation as S
 from tidemark.operators.clustering import first_fit
 from tidemark.plans import sqltext as Q
@@ -215,10 +219,12 @@ def voiceprint_cluster(spark: SparkSession, d: str) -> DataFrame:
 
 def topics_greedy(spark: SparkSession, d: str) -> DataFrame:
     """Moments by cosine of their hashed texts from 0.5 on, with at most 512 representatives; clusters of two or more."""
-    m = _moments(spark, d)
-    cells = V.hash_cells(m, "moment_id", "transcript").groupBy("moment_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.col("weight").cast("double")))).alias("w"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at("w", i), F.lit(0.0)))
-    out = first_fit(cells.select(F.col("moment_id").alias("key"), vec.alias("vec")), 0.5)
+    def doubles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["key"], "vec": [np.frombuffer(v, np.int32).astype(np.float64).tobytes() for v in pdf["vec"]]})
+
+    index = R.build_index(_moments(spark, d).select(F.col("moment_id").alias("key"), F.col("transcript").alias("text"))).where("len > 0")
+    out = first_fit(index.select("key", "vec").mapInPandas(doubles, "key string, vec binary"), 0.5)
     return out.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 

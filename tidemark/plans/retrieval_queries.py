@@ -37,7 +37,7 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    return R.hybrid(questions(spark, d), R.build_index(corpus(spark, d)), 8)
+    return R.hybrid(questions(spark, d), corpus(spark, d), 8)
 
 
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +45,7 @@ def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def round_robin_merge(spark: SparkSession, d: str) -> DataFrame:
-    found = R.search(questions(spark, d), R.build_index(corpus(spark, d)), 24)
+    found = R.search(questions(spark, d), corpus(spark, d), 24)
     legs = [R.ranked(found.where(F.col("leg") == leg), 24) for leg in ("lexical", "dense")]
     return R.round_robin(legs, 8).select("qid", F.col("key").alias("moment_id"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -124,7 +124,7 @@ def scoped_search(spark: SparkSession, d: str) -> DataFrame:
     first = once(table(spark, d, "iterm_probes").select(F.col("probe_id").alias("qid"), F.get("cite_videos", 0).alias("video_id")), "qid")
     q = questions(spark, d).join(first.where("video_id is not null"), "qid")
     c = once(table(spark, d, "moments").where("transcript is not null").select(F.col("moment_id").alias("key"), "video_id", F.col("transcript").alias("text")), "key")
-    return R.ranked(R.search(q, R.build_index(c, ["video_id"]), 5, ("dense",)), 5).select("qid", F.col("key").alias("moment_id"), "score")
+    return R.ranked(R.search(q, c, 5, ("dense",)), 5).select("qid", F.col("key").alias("moment_id"), "score")
 
 
 def visual_topk(spark: SparkSession, d: str) -> DataFrame:

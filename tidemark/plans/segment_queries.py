@@ -11,6 +11,7 @@ from tidemark.functions import vectors as V
 from tidemark.operators import claims as C
 from tidemark.operators import segmentation as S
 from tidemark.operators import visual as I
+from tidemark.operators.ordered import Ordered
 from tidemark.plans import sqltext as Q
 from tidemark.plans.text_queries import once
 from tidemark.session import table
@@ -61,10 +62,8 @@ def merge_small(spark: SparkSession, d: str) -> DataFrame:
 
 def speaker_carry(spark: SparkSession, d: str) -> DataFrame:
     """The last named speaker and the number of the turn of every segment."""
-    w = S.order("t0", "seg_id")
-    rows = _speech(spark, d).withColumn("who", F.last("speaker", ignorenulls=True).over(w))
-    rows = rows.withColumn("turn", F.sum(F.when(F.col("who").eqNullSafe(F.lag("who").over(w)), 0).otherwise(1)).over(w))
-    return rows.select("seg_id", "who", "turn")
+    rows = Ordered(_speech(spark, d), "video_id", ["t0", "seg_id"]).last_known("who", F.col("speaker"), F.col("speaker").isNotNull()).lag("prior", F.col("who"))
+    return rows.with_column("new", F.when(F.col("who").eqNullSafe(F.col("prior")), 0).otherwise(1)).running_sum("turn", F.col("new")).rows().select("seg_id", "who", "turn")
 
 
 def canonical_spelling(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +79,7 @@ def longest_segment(spark: SparkSession, d: str) -> DataFrame:
 
 def precedes_edges(spark: SparkSession, d: str) -> DataFrame:
     m = once(table(spark, d, "moments").where("video_id is not null and idx is not null").select("moment_id", "video_id", "idx"), "moment_id")
-    return m.select(F.col("moment_id").alias("src"), F.lead("moment_id").over(Window.partitionBy("video_id").orderBy("idx", "moment_id")).alias("dst")).where("dst is not null")
+    return Ordered(m, "video_id", ["idx", "moment_id"], F.floor(F.col("idx") / 1000)).lead("dst", F.col("moment_id")).rows().where("dst is not null").select(F.col("moment_id").alias("src"), "dst")
 
 
 def _committed(spark: SparkSession, d: str, *more: str) -> DataFrame:
@@ -138,9 +137,8 @@ def locate_span(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_ends(spark: SparkSession, d: str) -> DataFrame:
-    f = I.frames(table(spark, d, "visual_events"))
-    w = Window.partitionBy("video_id").orderBy("t_start_s", "event_id")
-    return f.select("event_id", ms(F.coalesce(F.lead("t_start_s").over(w), F.col("t_start_s"))).alias("end_ms"))
+    f = I.frames(table(spark, d, "visual_events")).drop("embedding")
+    return Ordered(f, "video_id", ["t_start_s", "event_id"]).lead("next", F.col("t_start_s")).rows().select("event_id", ms(F.coalesce("next", "t_start_s")).alias("end_ms"))
 
 
 def scene_cuts(spark: SparkSession, d: str) -> DataFrame:
