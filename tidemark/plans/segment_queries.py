@@ -40,10 +40,19 @@ def moments_islands(spark: SparkSession, d: str) -> DataFrame:
     return parts.groupBy("video_id", "part").agg(F.count(F.lit(1)).alias("n_cues"), F.min("seg_id").alias("least_seg"), ms(F.min("t0")).alias("start_ms"), ms(F.max("t1")).alias("end_ms"))
 
 
-def moments_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Moments by the first four rules; the fold runs inside the islands."""
+def _folded(spark: SparkSession, d: str, max_s: float) -> DataFrame:
     rows = S.islands(_speech(spark, d), _events(spark, d)).select("video_id", "island", "seg_id", "t0", "t1", "speaker", "text")
-    return S.fold(rows, max_s=20.0).groupBy("video_id", "island", F.col("grp").cast("bigint").alias("grp")).agg(F.count(F.lit(1)).alias("n_cues"), F.min("seg_id").alias("least_seg"))
+    return S.fold(rows, max_s=max_s).groupBy("video_id", "island", F.col("grp").cast("bigint").alias("grp")).agg(F.count(F.lit(1)).alias("n_cues"), F.min("seg_id").alias("least_seg"))
+
+
+def moments_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Moments by the first four rules, with a length of 20 s, so that the rule of length is met often; the fold runs inside the islands."""
+    return _folded(spark, d, 20.0)
+
+
+def moments_fold_90(spark: SparkSession, d: str) -> DataFrame:
+    """Moments by the first four rules, with the length of 90 s."""
+    return _folded(spark, d, S.MAX_S)
 
 
 def moments_text(spark: SparkSession, d: str) -> DataFrame:
@@ -149,6 +158,11 @@ def keyframes(spark: SparkSession, d: str) -> DataFrame:
     return I.keyframes(I.scene_cuts(I.frames(table(spark, d, "visual_events")), cut=0.35), gain=0.05).select("event_id", "scene")
 
 
+def keyframes_default(spark: SparkSession, d: str) -> DataFrame:
+    """Keyframes with the cut, gain and cap of the defaults."""
+    return I.keyframes(I.scene_cuts(I.frames(table(spark, d, "visual_events")))).select("event_id", "scene")
+
+
 def frame_class(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "visual_events").where(V.usable(F.col("embedding"), 64))
     return once(e.select("event_id", "embedding", "ocr_text"), "event_id").select("event_id", I.frame_class(F.col("embedding"), F.col("ocr_text")).alias("kind"))
@@ -168,7 +182,7 @@ def ocr_fusion(spark: SparkSession, d: str) -> DataFrame:
     return first.groupBy(F.col("a_id").alias("moment_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "ocr"))), lambda x: x["ocr"]), " ").alias("ocr"))
 
 
-QUERIES = {f.__name__: f for f in (segments_lag_gap, event_in_gap, moments_islands, moments_fold, moments_text, merge_small, speaker_carry, canonical_spelling, longest_segment, precedes_edges, elaborates_edges, corrects_asof, visual_overlap_join, claim_segments, clip_window, locate_span, event_ends, scene_cuts, keyframes, frame_class, mean_vector, ocr_fusion)}
+QUERIES = {f.__name__: f for f in (segments_lag_gap, event_in_gap, moments_islands, moments_fold, moments_fold_90, moments_text, merge_small, speaker_carry, canonical_spelling, longest_segment, precedes_edges, elaborates_edges, corrects_asof, visual_overlap_join, claim_segments, clip_window, locate_span, event_ends, scene_cuts, keyframes, keyframes_default, frame_class, mean_vector, ocr_fusion)}
 
 _SP = """sp as (select seg_id, any_value(video_id) video_id, any_value(start_s) t0, any_value(end_s) t1, any_value(speaker) speaker, any_value(text) text from segments
  where lower(kind) = 'speech' and trim(text, ' ') <> '' and video_id is not null and isfinite(start_s) and isfinite(end_s) group by seg_id),
@@ -199,13 +213,13 @@ SQL = {
     "segments_lag_gap": f"with {_SP} select seg_id, {_MS('t0 - before')} as gap_ms from gp where before is not null",
     "event_in_gap": f"with {_EV} select seg_id, heard from gh",
     "moments_islands": f"with {_PT} select video_id, part, count(*) as n_cues, min(seg_id) as least_seg, {_MS('min(t0)')} as start_ms, {_MS('max(t1)')} as end_ms from pt group by 1, 2",
-    "moments_fold": f"""with recursive {_EV},
+    **{name: f"""with recursive {_EV},
 o as (select *, row_number() over (partition by video_id, island order by t0, seg_id) rn from il),
 f as (select video_id, island, rn, seg_id, 0::bigint grp, t0 g0, t1 g1, speaker who from o where rn = 1
  union all select o.video_id, o.island, o.rn, o.seg_id, grp + c, case when c = 1 then o.t0 else g0 end, o.t1, case when c = 1 then o.speaker else coalesce(nullif(who, ''), o.speaker) end
- from (select f.*, o.rn nrn, case when (o.speaker <> '' and who <> '' and o.speaker <> who) or g1 - g0 >= 20 then 1 else 0 end c from f join o on o.video_id = f.video_id and o.island = f.island and o.rn = f.rn + 1) f
+ from (select f.*, o.rn nrn, case when (o.speaker <> '' and who <> '' and o.speaker <> who) or g1 - g0 >= {most} then 1 else 0 end c from f join o on o.video_id = f.video_id and o.island = f.island and o.rn = f.rn + 1) f
  join o on o.video_id = f.video_id and o.island = f.island and o.rn = f.nrn)
-select video_id, island::bigint as island, grp, count(*) as n_cues, min(seg_id) as least_seg from f group by all""",
+select video_id, island::bigint as island, grp, count(*) as n_cues, min(seg_id) as least_seg from f group by all""" for name, most in (("moments_fold", 20), ("moments_fold_90", 90))},
     "moments_text": f"""with {_PT}{_DOM} select g.video_id, g.part, text_sha1, n_cues, speaker_id from (select video_id, part, sha1(string_agg(trim(text, ' '), ' ' order by t0, seg_id)) as text_sha1, count(*)::int as n_cues from pt group by 1, 2) g
  left join dm using (video_id, part)""",
     "merge_small": f"""with {_PT}{_DOM}, g as (select video_id, part no, min(t0) t_start, arg_max(t1, (t0, seg_id)) last_end from pt group by 1, 2),
@@ -234,6 +248,12 @@ select claim_id, arg_min(seg_id, (-n, s, seg_id)) as seg_id, max(n)::bigint as s
     "event_ends": f"with {_FR} select event_id, {_MS('coalesce(lead(t) over (partition by video_id order by t, event_id), t)')} as end_ms from fr",
     "scene_cuts": f"""with {_FR}, l as (select *, lag(v) over (partition by video_id order by t, event_id) b from fr)
 select event_id, sum(case when b is not null and {_DIST('b', 'v')} > 0.3 then 1 else 0 end) over (partition by video_id order by t, event_id)::bigint as scene from l""",
+    **{name: f"""with recursive {_FR}, l as (select *, lag(v) over (partition by video_id order by t, event_id) b from fr),
+sc as (select *, sum(case when b is not null and {_DIST('b', 'v')} > {cut} then 1 else 0 end) over (partition by video_id order by t, event_id)::bigint scene from l),
+o as (select *, row_number() over (partition by video_id, scene order by t, event_id) rn from sc),
+f as (select video_id, scene, rn, event_id, v kept, 1 n, true keep from o where rn = 1
+ union all select video_id, scene, rn, event_id, case when k then v else kept end, n + k::int, k from (select o.*, f.kept, f.n, f.n < 8 and {_DIST('f.kept', 'o.v')} >= {gain} k from f join o on o.video_id = f.video_id and o.scene = f.scene and o.rn = f.rn + 1))
+select event_id, scene from f where keep""" for name, cut, gain in (("keyframes", 0.35, 0.05), ("keyframes_default", 0.3, 0.12))},
     "frame_class": f"""select event_id, case when n >= 30 then 'document' when n >= 8 then 'slide' when list_reduce(list_prepend(0.0::double, list_transform(v, lambda x: (x - m) * (x - m))), lambda p, q: p + q) / 64 >= 0.05 then 'diagram' else 'talking_head' end as kind
  from (select *, list_reduce(list_prepend(0.0::double, v), lambda p, q: p + q) / 64 m from (select event_id, any_value(embedding) v, any_value(len(list_filter(regexp_split_to_array(trim(coalesce(ocr_text, '')), '\\s+'), lambda w: w <> ''))) n from visual_events
  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64 group by event_id))""",
