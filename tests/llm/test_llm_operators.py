@@ -287,6 +287,21 @@ def test_turn_texts(spark):
     assert [(r.turn_seg_id, r.text, r.n_cases) for r in turns.speaker_turns(seg, people).orderBy("turn_seg_id").collect()] == [(1, "hello again", 2), (4, "bye", 1)]
 
 
+def test_turns_hold_every_case_once(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["v", "w"]), float(rng.randint(0, 300)), None, rng.choice(["so it was", "um", "Ada: yes"]), rng.choice([None, "Paul Calder", None]), "speech") for i in range(400)]
+    seg = spark.createDataFrame(rows, "seg_id long, video_id string, start_s double, end_s double, text string, speaker string, kind string")
+    people = spark.createDataFrame(PEOPLE, "speaker_id string, resolved_name string, label string")
+    cases, turns_ = turns.turn_cases(seg, people, with_text=True).collect(), turns.speaker_turns(seg, people).collect()
+    assert sum(t.n_cases for t in turns_) == len(cases) == len({c.seg_id for c in cases})
+    by = {}
+    for c in sorted(cases, key=lambda c: (c.start_s, c.seg_id)):
+        by.setdefault((c.video_id, c.turn_seg_id), []).append(c.speech)
+    assert {(t.video_id, t.turn_seg_id): t.text for t in turns_} == {k: " ".join(v) for k, v in by.items()}
+    order = {v: [t.speaker_id for t in sorted(turns_, key=lambda t: (t.start_s, t.turn_seg_id)) if t.video_id == v] for v in ("v", "w")}
+    assert all(a != b for o in order.values() for a, b in zip(o, o[1:]))  # neighbouring turns have other speakers
+
+
 # --- 7: near duplicates -------------------------------------------------------------------------------------------------
 def test_neardup_against_brute_force(spark):
     rng = random.Random(9)
@@ -316,6 +331,15 @@ def test_neardup_against_brute_force(spark):
     assert members.count() == 0 and links.count() == 0
 
 
+def test_pairs_within_blocks(spark):
+    rows = [(g, f"{g}{i:03d}") for g, n in (("a", 1), ("b", 2), ("c", 23), ("d", 10)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, item string")
+    want = {(p, q) for g, p in rows for h, q in rows if g == h and p < q}
+    for block in (5, 10, 100):
+        got = [tuple(r) for r in neardup.pairs_within(df, "g", "item", block).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def linked_share(spark, texts, copies):
     """Share of the true links that are found among distinct texts, each with so many rows."""
     rows = [(f"{i:04d}-{j}", t) for i, t in enumerate(texts) for j in range(copies.get(i, 1))]

@@ -24,6 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.session import materialize, spread
 
@@ -39,6 +40,8 @@ HEAVY = 2 / 3
 SEED = 11
 #: Texts that a task remembers to pass over their copies, at most.
 SEEN = 200_000
+#: Items of a group that are paired in one place.
+BLOCK = 500
 WORD = re.compile(r"[^\W_]+")
 TWO_WORDS = r"[\p{L}\p{N}][^\p{L}\p{N}]+[\p{L}\p{N}]"
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -196,6 +199,21 @@ def _verify(num: int, den: int):
     return run
 
 
+def pairs_within(rows: DataFrame, group: str, item: str, block: int = BLOCK) -> DataFrame:
+    """``x, y`` (x < y): the pairs of the distinct items of every group.
+
+    ``rows`` has every (group, item) once. A group is cut into blocks of ``block`` items in their order, and every two blocks meet in a place of
+    their own, so that a large group's pairs are spread over many tasks. Groups of one item go no further.
+    """
+    whole = Window.partitionBy(group)
+    at = F.floor((F.row_number().over(whole.orderBy(item)) - 1) / block).cast("int")
+    many = rows.select(group, item, at.alias("p"), F.count(F.lit(1)).over(whole).alias("n")).where("n > 1")
+    last = F.floor((F.col("n") - 1) / block).cast("int")
+    left = many.select(group, F.col(item).alias("x"), "p", F.explode(F.sequence("p", last)).alias("q"))
+    right = many.select(group, F.col(item).alias("y"), F.explode(F.sequence(F.lit(0), F.col("p"))).alias("p_"), F.col("p").alias("q")).withColumnRenamed("p_", "p")
+    return left.join(right, [group, "p", "q"]).where("x < y").select("x", "y")
+
+
 def near_duplicate_links(base: DataFrame, num: int = 1, den: int = 2, segments: int = SEGMENTS, width: int = WIDTH) -> DataFrame:
     """``a, b`` (a < b): the pairs of text classes whose sets have at least num/den of their union in common.
 
@@ -203,10 +221,9 @@ def near_duplicate_links(base: DataFrame, num: int = 1, den: int = 2, segments:
     """
     spark = base.sparkSession
     weights = spark.sparkContext.broadcast(slot_weights(base))  # SLOTS numbers, whatever the input
-    # One exchange by variant serves both sides of the join and the removal of what several tasks' copies of a text have given.
+    # One exchange by variant serves the removal of what several tasks' copies of a text have given and the search for variants of two texts.
     index = base.mapInPandas(_signatures(weights, segments, width), "key bigint, rid bigint").repartition(F.col("key")).dropDuplicates(["key", "rid"])
-    x, y = index.select("key", F.col("rid").alias("a")), index.select("key", F.col("rid").alias("b"))
-    candidates = materialize(x.join(y, "key").where("a < b").select("a", "b").distinct())
+    candidates = materialize(pairs_within(index, "key", "rid").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     needed = candidates.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     texts = base.repartition(F.col("rid")).join(needed, "rid", "left_semi").dropDuplicates(["rid"])
     one = candidates.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a")
@@ -230,5 +247,5 @@ def expand_links(members: DataFrame, links: DataFrame) -> DataFrame:
     a = members.select(F.col("rid").alias("a"), F.col("key").alias("x"))
     b = members.select(F.col("rid").alias("b"), F.col("key").alias("y"))
     across = links.join(a, "a").join(b, "b").select("x", "y")
-    within = a.join(b.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
+    within = pairs_within(members, "rid", "key")
     return across.unionByName(within).select(F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b"))
