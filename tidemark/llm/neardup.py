@@ -209,9 +209,12 @@ def pairs_within(rows: DataFrame, group: str, item: str, block: int = BLOCK) ->
     at = F.floor((F.row_number().over(whole.orderBy(item)) - 1) / block).cast("int")
     many = rows.select(group, item, at.alias("p"), F.count(F.lit(1)).over(whole).alias("n")).where("n > 1")
     last = F.floor((F.col("n") - 1) / block).cast("int")
-    left = many.select(group, F.col(item).alias("x"), "p", F.explode(F.sequence("p", last)).alias("q"))
-    right = many.select(group, F.col(item).alias("y"), F.explode(F.sequence(F.lit(0), F.col("p"))).alias("p_"), F.col("p").alias("q")).withColumnRenamed("p_", "p")
-    return left.join(right, [group, "p", "q"]).where("x < y").select("x", "y")
+    # An item stands on the left of its own and all later blocks, and on the right of its own and all earlier ones; one exchange serves both sides.
+    left = F.transform(F.sequence("p", last), lambda q: F.struct(F.lit(True).alias("left"), F.col("p").alias("p"), q.alias("q")))
+    right = F.transform(F.sequence(F.lit(0), F.col("p")), lambda p: F.struct(F.lit(False).alias("left"), p.alias("p"), F.col("p").alias("q")))
+    placed = many.select(group, item, F.explode(F.concat(left, right)).alias("at")).select(group, item, "at.*").repartition(F.col(group), F.col("p"), F.col("q"))
+    sides = [placed.where(c).select(group, "p", "q", F.col(item).alias(name)) for c, name in (("left", "x"), ("not left", "y"))]
+    return sides[0].join(sides[1], [group, "p", "q"]).where("x < y").select("x", "y")
 
 
 def near_duplicate_links(base: DataFrame, num: int = 1, den: int = 2, segments: int = SEGMENTS, width: int = WIDTH) -> DataFrame:
