@@ -213,7 +213,9 @@ def pairs_within(rows: DataFrame, group: str, item: str, block: int = BLOCK) ->
     left = F.transform(F.sequence("p", last), lambda q: F.struct(F.lit(True).alias("left"), F.col("p").alias("p"), q.alias("q")))
     right = F.transform(F.sequence(F.lit(0), F.col("p")), lambda p: F.struct(F.lit(False).alias("left"), p.alias("p"), F.col("p").alias("q")))
     placed = many.select(group, item, F.explode(F.concat(left, right)).alias("at")).select(group, item, "at.*").repartition(F.col(group), F.col("p"), F.col("q"))
-    sides = [placed.where(c).select(group, "p", "q", F.col(item).alias(name)) for c, name in (("left", "x"), ("not left", "y"))]
+    # The partition number keeps the choice of a side above the exchange, which would else be made for each side apart.
+    here = F.spark_partition_id() >= 0
+    sides = [placed.where(here & F.expr(c)).select(group, "p", "q", F.col(item).alias(name)) for c, name in (("left", "x"), ("not left", "y"))]
     return sides[0].join(sides[1], [group, "p", "q"]).where("x < y").select("x", "y")
 
 
