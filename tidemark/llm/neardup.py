@@ -41,7 +41,7 @@ SEED = 11
 #: Texts that a task remembers to pass over their copies, at most.
 SEEN = 200_000
 #: Items of a group that are paired in one place.
-BLOCK = 500
+BLOCK = 250
 WORD = re.compile(r"[^\W_]+")
 TWO_WORDS = r"[\p{L}\p{N}][^\p{L}\p{N}]+[\p{L}\p{N}]"
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -209,14 +209,15 @@ def pairs_within(rows: DataFrame, group: str, item: str, block: int = BLOCK) ->
     at = F.floor((F.row_number().over(whole.orderBy(item)) - 1) / block).cast("int")
     many = rows.select(group, item, at.alias("p"), F.count(F.lit(1)).over(whole).alias("n")).where("n > 1")
     last = F.floor((F.col("n") - 1) / block).cast("int")
-    # An item stands on the left of its own and all later blocks, and on the right of its own and all earlier ones; one exchange serves both sides.
+    # An item stands on the left of its own and all later blocks, and on the right of all earlier ones; a place holds two blocks at most.
     left = F.transform(F.sequence("p", last), lambda q: F.struct(F.lit(True).alias("left"), F.col("p").alias("p"), q.alias("q")))
-    right = F.transform(F.sequence(F.lit(0), F.col("p")), lambda p: F.struct(F.lit(False).alias("left"), p.alias("p"), F.col("p").alias("q")))
-    placed = many.select(group, item, F.explode(F.concat(left, right)).alias("at")).select(group, item, "at.*").repartition(F.col(group), F.col("p"), F.col("q"))
-    # The partition number keeps the choice of a side above the exchange, which would else be made for each side apart.
-    here = F.spark_partition_id() >= 0
-    sides = [placed.where(here & F.expr(c)).select(group, "p", "q", F.col(item).alias(name)) for c, name in (("left", "x"), ("not left", "y"))]
-    return sides[0].join(sides[1], [group, "p", "q"]).where("x < y").select("x", "y")
+    right = F.transform(F.filter(F.sequence(F.lit(0), F.col("p")), lambda p: p < F.col("p")), lambda p: F.struct(F.lit(False).alias("left"), p.alias("p"), F.col("p").alias("q")))
+    placed = many.select(group, item, F.explode(F.concat(left, right)).alias("at"))
+    side = lambda c: F.collect_list(F.when(c, F.col(item)))
+    met = placed.groupBy(group, "at.p", "at.q").agg(side(F.col("at.left")).alias("x"), side(~F.col("at.left")).alias("y"))
+    others = F.when(F.col("p") == F.col("q"), F.col("x")).otherwise(F.col("y"))
+    pairs = F.flatten(F.transform("x", lambda x: F.transform(F.filter(others, lambda y: y > x), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    return met.select(F.explode(pairs).alias("pair")).select("pair.*")
 
 
 def near_duplicate_links(base: DataFrame, num: int = 1, den: int = 2, segments: int = SEGMENTS, width: int = WIDTH) -> DataFrame:
