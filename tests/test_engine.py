@@ -1,4 +1,5 @@
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,27 +19,33 @@ HARBOUR = vtt((0, 6, "<v Ines>The granite harbour wall will survive the winter f
 RIVER = vtt((0, 6, "<v Otto>The granite harbour wall will not survive the winter floods."), (6.5, 14, ">> The old ferry engine was rebuilt by three apprentices."), (14.5, 20, "Actually the Meridian survey missed one lock gate."))
 
 
-@pytest.fixture
-def engine(spark, tmp_path):
-    src = tmp_path / "src"
+@pytest.fixture(scope="module")
+def base(spark, tmp_path_factory):
+    """Two videos, ingested and consolidated once; tests that change something work on a copy of the store."""
+    root = tmp_path_factory.mktemp("engine")
+    src = root / "src"
     src.mkdir()
     (src / "harbour.vtt").write_text(HARBOUR)
     (src / "harbour.txt").write_text("A sibling in a format of less preference. It is passed over.")
     (src / "river.en.vtt").write_text(RIVER)
     (src / "harbour.meta.json").write_text('{"upload_date": "20230512", "title": "Harbour day"}')
     (src / "notes.pdf").write_text("no captions")
-    return Engine(spark, str(tmp_path / "store")), src
+    e = Engine(spark, str(root / "store"))
+    return e, src, e.ingest(str(src)), e.consolidate()
 
 
-def test_engine_end_to_end(spark, engine):
-    e, src = engine
-    first = e.ingest(str(src))
+def copied(spark, base, tmp_path):
+    shutil.copytree(base[0].store.root, tmp_path / "store")
+    return Engine(spark, str(tmp_path / "store"))
+
+
+def test_engine_end_to_end(spark, base):
+    e, src, first, report = base
     assert first["videos"] == 2 and first["claims"] == 6
     assert e.ingest(str(src)) == {"videos": 0, "segments": 0, "moments": 0, "claims": 0}
     rels = {r.rel for r in e.table("edges").select("rel").distinct().collect()}
     assert {"STATES", "ATTRIBUTED_TO", "MENTIONS", "SAME_AS", "PRECEDES"} <= rels
     assert {r.relation for r in e.contradictions().collect()} == {"CONTRADICTS", "SUPPORTS"}
-    report = e.consolidate()
     assert report["contradictions"] == 1 and report["supports"] >= 1 and report["claims_scanned"] == 6
     again = e.consolidate()
     assert again["claims_scanned"] == 0 and again["relations"] == report["relations"]  # nothing past the mark
@@ -64,10 +71,8 @@ def test_engine_end_to_end(spark, engine):
     assert e.clip(video, 21, 22).count() == 1 and e.moments(video).count() == e.table("moments").where(F.col("video_id") == video).count()
 
 
-def test_deletion_and_sync(spark, engine):
-    e, src = engine
-    e.ingest(str(src))
-    e.consolidate()
+def test_deletion_and_sync(spark, base, tmp_path):
+    e, src = copied(spark, base, tmp_path), base[1]
     before = {r.metric: r.value for r in e.metrics().collect()}
     gone = e.list_videos().where("title = 'Harbour day'").first().video_id
     e.delete_video(gone)
@@ -84,21 +89,17 @@ def test_deletion_and_sync(spark, engine):
         e.ingest("/no/such/folder")
 
 
-def test_incremental_equals_a_full_pass(spark, engine, tmp_path):
-    e, src = engine
-    for name in ("harbour.vtt", "river.en.vtt"):
-        e.ingest(str(src / name))
-        e.consolidate()
-    whole = Engine(spark, str(tmp_path / "whole"))
-    whole.ingest(str(src))
-    whole.consolidate(full=True)
-    edges = lambda x: {(r.src, r.rel, r.dst) for r in x.table("edges").where("rel in ('CONTRADICTS', 'SUPPORTS')").collect()}
-    assert edges(e) == edges(whole) and edges(e)
+def test_incremental_equals_a_full_pass(spark, base, tmp_path):
+    e = copied(spark, base, tmp_path)
+    (tmp_path / "canal.vtt").write_text(vtt((0, 6, "The granite harbour wall will never survive the winter floods."), (7, 13, "Nobody counts the herons.")))
+    e.ingest(str(tmp_path / "canal.vtt"))
+    assert e.consolidate()["claims_scanned"] <= 2
+    found = {(r.src, r.rel, r.dst) for r in e.table("edges").where("rel in ('CONTRADICTS', 'SUPPORTS')").collect()}
+    assert found == {(r.a, r.relation, r.b) for r in e.contradictions().collect()} and len(found) >= base[3]["relations"] + 2
 
 
-def test_slots_and_settings(spark, engine, tmp_path):
-    e, src = engine
-    e.ingest(str(src))
+def test_slots_and_settings(spark, base, tmp_path):
+    e = base[0]
     with pytest.raises(ValueError):
         Engine(spark, str(tmp_path / "x"), slots={"telepathy": lambda df: df})
     q = spark.createDataFrame([(1, "Who rebuilt the ferry engine?")], "qid long, question string")
@@ -113,9 +114,8 @@ def test_slots_and_settings(spark, engine, tmp_path):
         Settings.of({"no_such": 1})
 
 
-def test_visual_events(spark, engine):
-    e, src = engine
-    e.ingest(str(src))
+def test_visual_events(spark, base, tmp_path):
+    e = copied(spark, base, tmp_path)
     m = e.table("moments").orderBy("moment_id").first()
     events = spark.createDataFrame([(1, m.video_id, m.t_start_s, m.t_end_s, "a chart", "TIDE TABLE", [0.0, 1.0]), (2, m.video_id, m.t_start_s, m.t_end_s, None, "TIDE TABLE", [1.0, 1.0])], "event_id long, video_id string, t_start_s double, t_end_s double, caption string, ocr_text string, embedding array<double>")
     e.add_visual_events(events)
