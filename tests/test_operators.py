@@ -167,6 +167,37 @@ def test_lexical_prefilter_with_short_terms(spark, tmp_path):
     assert got == allowed & dense and (100, "m1") in got
 
 
+def test_lexical_prefilter_lists_no_pairs(spark, tmp_path):
+    rng = random.Random(6)
+    words = [a + b for a in ("kil", "gran", "har", "tre", "lan", "fur") for b in ("n", "ite", "bour", "llis", "tern", "nace")]
+    moments = [(f"m{i:03d}", " ".join(["the", *rng.choices(words, k=8)])) for i in range(398)] + [("m398", "zebra"), ("m399", "zebra2 owl owl"), (None, "the kiln")]
+    probes = [(100 * i, f"the {rng.choice(words)[:3]} {rng.choice(words)}") for i in range(1, 101)]
+    probes += [(20000, " ".join([f"w{i}" for i in range(250)] + ["zebra"])), (20100, "..."), (20200, None), (20300, "quite unknown"), (20400, "zebra")]
+    spark.createDataFrame(moments, "moment_id string, transcript string").write.parquet(f"{tmp_path}/moments.parquet")
+    spark.createDataFrame(probes, "probe_id long, q string").write.parquet(f"{tmp_path}/iterm_probes.parquet")
+    grams, want, pairs = R._Grams(), set(), 0
+    vec = lambda t: grams.vector(t).astype(float)
+    corpus = [(key, ts, vec(ts)) for key, text in moments if key and (ts := R.TOKEN.findall(text))]
+    for qid, text in probes:
+        asked = R.TOKEN.findall(text or "")
+        q, found = vec(asked), []
+        for key, ts, d in corpus:
+            if any(t.startswith(a) for t in ts for a in asked):
+                pairs += 1
+                if ((q != 0) & (d != 0)).any():
+                    found.append((-np.floor(q @ d / (np.sqrt(d @ d) * np.sqrt(q @ q)) * 1e6 + 0.5) / 1e6, key))
+        want |= {(qid, key, -s) for s, key in sorted(found)[:10]}
+    store, listed, none = spark._jsc.sc().statusStore(), spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava, spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = lambda: {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in listed(store.stageList(None, False, False, none, None))}
+    before = stages()
+    got = lexical_prefilter(spark, str(tmp_path)).collect()
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert (20000, "m398") in {(r.qid, r.moment_id) for r in got}
+    # Moments and probes once, and at most ten rows of a question from each of the four tasks.
+    assert pairs > 39_000 and sum(n for k, n in stages().items() if k not in before) < 6_000
+
+
 def test_voiceprint_cluster_compares_with_leaders_beyond_512(spark, tmp_path):
     rng = np.random.default_rng(8)
     vecs = rng.standard_normal((700, 64))
